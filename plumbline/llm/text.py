@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import re
 import unicodedata
 
@@ -43,6 +44,40 @@ def template_key(s: str | None) -> str | None:
     return None if not k or k in _BARE else k
 
 
+#: Words that introduce a repeated question.
+WRAPPERS = frozenset(
+    "you asked ask asks question the is this here let me repeat us again so sure certainly of course answer your my original request prompt was "
+    "follows following as okay ok well q a restate rephrase again".split()
+)
+_TOKEN = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]|[^\W_]+")
+
+
+def copies_question(answer: str, questions: list[str | None]) -> bool:
+    """Does ``answer`` give back one of ``questions``, perhaps with slight changes, and nothing else?
+
+    Every word must come from the questions, from a wrapping phrase or from a
+    slip of a word; at most two strange words may stand inside, none after the
+    question's last word; two thirds of a question must be there.
+    """
+    words = _TOKEN.findall(fold(answer))
+    if len(words) < 4:
+        return False
+    asked = [set(_TOKEN.findall(fold(q))) for q in questions if q]
+    asked = [q for q in asked if q]
+    if not asked:
+        return False
+    union = set().union(*asked)
+    strange = [i for i, w in enumerate(words) if w not in union and w not in WRAPPERS]
+    if len(strange) > 4 + len(words) // 8:
+        return False
+    strange = [i for i in strange if not difflib.get_close_matches(words[i], union, 1, 0.74)]
+    known = [i for i, w in enumerate(words) if w in union]
+    if len(strange) > 2 or not known or any(i > known[-1] for i in strange):
+        return False
+    have = set(words)
+    return any(sum(w in have for w in q) >= 0.66 * len(q) for q in asked)
+
+
 def vectorised(fn) -> "Column":
     """A string-to-string function as an Arrow-batched UDF that works once per distinct value of a batch."""
 
