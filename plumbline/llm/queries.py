@@ -126,8 +126,8 @@ FROM one LEFT JOIN own ON one.item_id = own.item_id""",
     "p5_votes": f"""
 WITH one AS (SELECT item_id, arg_min({{'m': judge_model, 'js': individual_judgments}}, -coalesce(len(individual_judgments), 0)) AS r
              FROM judged_answers WHERE item_id IS NOT NULL GROUP BY item_id),
-     votes AS (SELECT item_id, string_split(r.m, '+') AS judges, unnest(r.js) AS v, generate_subscripts(r.js, 1) AS at FROM one),
-     panel AS (SELECT 'judge:' || coalesce(judges[at], CAST(at - 1 AS VARCHAR)) AS annotator, v.label AS label FROM votes WHERE {_VALID}),
+     votes AS (SELECT item_id, string_split(r.m, '+') AS judges, unnest(r.js) AS v, generate_subscripts(r.js, 1) AS pos FROM one),
+     panel AS (SELECT 'judge:' || coalesce(judges[pos], CAST(pos - 1 AS VARCHAR)) AS annotator, v.label AS label FROM votes WHERE {_VALID}),
      last AS (SELECT item_id, annotator, max_by(human_label, {{'t': labelled_at, 'l': coalesce(human_label, -1)}}) AS label
               FROM human_labels WHERE annotator IS NOT NULL AND item_id IN (SELECT item_id FROM judged_answers) GROUP BY item_id, annotator)
 SELECT annotator, CAST(label AS INT) AS label, count(*) AS n FROM (
