@@ -14,7 +14,6 @@ nothing; a sentence pattern with other names fails the test of names.
 
 from __future__ import annotations
 
-import difflib
 import html
 import json
 import re
@@ -36,6 +35,8 @@ PASSAGE_SHARE, QUESTION_SHARE = 0.29, 0.7
 NAME_SHARE = 0.75
 #: A chain is compared if its trigrams hold this many words, and a quarter of the names it spans.
 MIN_WORDS = 5
+#: Characters of a gram in the comparison.
+GRAM = 4
 #: A sentence in this many items is stock.
 STOCK_ITEMS = 5
 
@@ -78,7 +79,7 @@ def offsets(text: str) -> list[int]:
 class Field:
     """One question or passage: its words, their places in the bare stream, and its distinctive words."""
 
-    __slots__ = ("item", "kind", "words", "at", "bare", "names")
+    __slots__ = ("item", "kind", "words", "at", "bare", "names", "grams")
 
     def __init__(self, item: str, kind: str, words: list[str], distinctive: list[bool]) -> None:
         self.item, self.kind, self.words = item, kind, words
@@ -86,6 +87,9 @@ class Field:
         for w in words:
             self.at.append(self.at[-1] + len(w))
         self.bare = "".join(words)
+        self.grams: dict[str, list[int]] = defaultdict(list)
+        for i in range(len(self.bare) - GRAM, -1, -1):
+            self.grams[self.bare[i : i + GRAM]].append(i)
         self.names = [i for i, d in enumerate(distinctive) if d]
 
 
@@ -117,6 +121,27 @@ def fields_of(items: list[tuple[str, str, str]], stock_items: int = STOCK_ITEMS)
     return out
 
 
+def common_grams(a: str, grams: dict[str, list[int]], b: str) -> list[tuple[int, int]]:
+    """Longest common subsequence of character grams of ``a`` and ``b``, as (place in a, place in b)."""
+    tails: list[int] = []
+    ends: list[int] = []
+    nodes: list[tuple[int, int, int]] = []
+    for p in range(len(b) - GRAM + 1):
+        for i in grams.get(b[p : p + GRAM], ()):  # descending, so that one place of b is used once
+            k = bisect_left(tails, i)
+            nodes.append((i, p, ends[k - 1] if k else -1))
+            if k == len(tails):
+                tails.append(i)
+                ends.append(len(nodes) - 1)
+            else:
+                tails[k], ends[k] = i, len(nodes) - 1
+    out, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        i, p, n = nodes[n]
+        out.append((i, p))
+    return out[::-1]
+
+
 class LeakScanner:
     """Finds the items whose material a text holds."""
 
@@ -208,12 +233,12 @@ class LeakScanner:
         hi = min(len(bare), p1 + size - field.at[i1] + 40)
         if hi - lo > 4 * size + 400:
             return None
-        blocks = [b for b in difflib.SequenceMatcher(None, field.bare, bare[lo:hi], autojunk=False).get_matching_blocks() if b.size >= 4]
-        if not blocks:
+        seeds = common_grams(field.bare, field.grams, bare[lo:hi])
+        if not seeds:
             return None
         covered = bytearray(size)
-        for b in blocks:
-            covered[b.a : b.a + b.size] = b"\1" * b.size
+        for at, _ in seeds:
+            covered[at : at + GRAM] = b"\1" * GRAM
         got = []
         for k, w in enumerate(field.words):
             n = sum(covered[field.at[k] : field.at[k + 1]])
@@ -231,7 +256,7 @@ class LeakScanner:
             return None
         if field.kind == "question" and field.names and sum(got[n] for n in field.names) < NAME_SHARE * len(field.names):
             return None
-        return share, lo + blocks[0].b, lo + blocks[-1].b + blocks[-1].size
+        return share, lo + seeds[0][1], lo + seeds[-1][1] + GRAM
 
 
 @lru_cache(maxsize=2)

@@ -61,6 +61,7 @@ _NAMES = {
 }
 _ASKS = {k: re.compile(rf"\b(?:in|auf|en|em|на|по|answer|reply|respond|antworte\w*)?\s*(?:{v})\b|(?:{v})で", re.I) for k, v in _NAMES.items()}
 _FOLDED = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_LETTERS = re.compile(r"[^\W\d_]+")
 _SCRIPTS = (
     ("ja", re.compile(r"[぀-ヿ]")), ("ko", re.compile(r"[가-힯]")), ("zh", re.compile(r"[一-鿿]")),
     ("ru", re.compile(r"[Ѐ-ӿ]")), ("ar", re.compile(r"[؀-ۿ]")), ("el", re.compile(r"[Ͱ-Ͽ]")),
@@ -101,15 +102,17 @@ def is_refusal(t: str) -> bool:
 
 def language_of(t: str) -> str | None:
     """Language of most of the text, or None if too little tells."""
-    letters = [c for c in t if c.isalpha()]
-    if not letters:
-        return None
-    for k, rx in _SCRIPTS:
-        if len(rx.findall(t)) * 3 >= len(letters):
-            return k
-    if len(re.findall(r"[぀-ヿ]", t)) >= 6:
-        return "ja"
-    words = re.findall(r"[^\W\d_]+", t.lower())
+    words = _LETTERS.findall(t.lower())
+    usual = sum(w in _FOLDED["en"] for w in words)
+    if usual >= 3 and 4 * usual >= len(words):
+        return "en"
+    if not t.isascii():
+        letters = sum(map(len, words))
+        for k, rx in _SCRIPTS:
+            if 0 < letters <= 3 * len(rx.findall(t)):
+                return k
+        if len(_SCRIPTS[0][1].findall(t)) >= 6:
+            return "ja"
     hits = {k: sum(w in v for w in words) for k, v in _FOLDED.items()}
     ranked = sorted(hits.items(), key=lambda x: -x[1])
     if ranked[0][1] < 2 or ranked[0][1] == ranked[1][1]:

@@ -17,12 +17,17 @@ PLACEHOLDERS = (
 )
 _BARE = {re.sub(r"[^a-z0-9]", "", p) for p in PLACEHOLDERS}
 _MARKS = re.compile(r"[^\w]|_")
+#: Combining marks of the Latin, Cyrillic, Greek, Arabic, Hebrew and Japanese scripts.
+_COMBINING = re.compile("[\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u064b-\u065f\u0670\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f]")
 _ARTICLE = re.compile(r"^(?:the|an|a)[\W_]+(?=\w)")
 
 
 def fold(s: str) -> str:
     """Lower case, no accents, compatibility forms resolved."""
-    return "".join(c for c in unicodedata.normalize("NFKD", s.casefold()) if not unicodedata.combining(c))
+    t = s.casefold()
+    if t.isascii():
+        return t
+    return _COMBINING.sub("", unicodedata.normalize("NFKD", t))
 
 
 def entity_key(s: str | None) -> str | None:
@@ -59,6 +64,9 @@ def copies_question(answer: str, questions: list[str | None]) -> bool:
     slip of a word; at most two strange words may stand inside, none after the
     question's last word; two thirds of a question must be there.
     """
+    # a copy may come several times over, but not with as much again of other text
+    if len(answer) > 200 + 6 * max((len(q) for q in questions if q), default=0):
+        return False
     words = _TOKEN.findall(fold(answer))
     if len(words) < 4:
         return False

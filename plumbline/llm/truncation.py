@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
 from .text import copies_question
 
 #: Weight of each ending, in log-odds of being cut.
@@ -235,8 +236,9 @@ def find_truncated(
                 names=["key", "source", "field", "evidence", "mark", "chars", "bytes"],
             )
 
-    ends = unclear.mapInArrow(
-        run, f"key {kind}, source string, field string, evidence string, mark string, chars int, bytes int"
+    # written once: four readers, and few rows are left of the texts
+    ends = Scratch(df.sparkSession, "endings").cut(
+        unclear.mapInArrow(run, f"key {kind}, source string, field string, evidence string, mark string, chars int, bytes int")
     )
     limits = F.broadcast(length_limits(df, fields, key, source))
     at = ends
