@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def chi2_sf1(x: float) -> float:
@@ -42,7 +43,7 @@ def betainc(a: float, b: float, x: float) -> float:
         f *= c * d
         if abs(1 - c * d) < 1e-14:
             break
-    return front * f
+    return front * (f - 1)
 
 
 def t_sf2(t: float, df: float) -> float:
@@ -68,22 +69,22 @@ def fisher(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, sum(q for x in range(max(0, c1 - r2), min(r1, c1) + 1) if (q := p(x)) <= seen * (1 + 1e-9)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else chi2_sf1(float(v)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mcnemar_p(b: pd.Series, c: pd.Series) -> pd.Series:
     """Exact below 25 discordant pairs, else Yates."""
     return pd.Series([binom_two_sided(int(x), int(x + y)) if x + y < 25 else chi2_sf1((abs(x - y) - 1) ** 2 / (x + y)) for x, y in zip(b, c)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher(*map(int, r)) for r in zip(a, b, c, d)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(x) else t_sf2(float(x), float(k)) for x, k in zip(t, df)])

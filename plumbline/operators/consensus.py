@@ -81,7 +81,7 @@ def leave_one_out(df: DataFrame, votes: str, label: str) -> DataFrame:
 def agreement_type(votes: Column) -> Column:
     """unanimous, majority (two or more agree) or split, over labelled votes."""
     labs = F.filter(F.transform(votes, lambda v: v["label"]), lambda x: x.isNotNull())
-    top = F.greatest(*[F.size(F.filter(labs, lambda x, k=k: x == k)) for k in LABELS])
+    top = F.greatest(*[_count(F.filter(votes, lambda v: v["label"].isNotNull()), k) for k in LABELS])
     return F.when(F.size(labs) == 0, F.lit(None)).when(F.size(F.array_distinct(labs)) == 1, "unanimous").when(top >= 2, "majority").otherwise("split")
 
 
