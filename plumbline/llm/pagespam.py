@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 #: The commonest function words of the languages told apart by them.
 FUNCTION_WORDS = {
     "en": "the of and to a in is it that was for on with as at by not be are this from or an but which had were they their has have its so than who when there will more no if out up into do any what would about can one all we you i he she his her our us my me been could should them then these those some other also only over after before because while during under between through each most such same very just here where how why did does your",
@@ -246,7 +248,10 @@ def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", share:
     """
     kind = docs.schema[key].dataType.simpleString()
     once = docs.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(key, text)
-    flagged = curve_flags(rank_curves(once.dropDuplicates([key]), key, text), key).where("steep or bent or divergent")
+    scratch = Scratch(docs.sparkSession, "curves")
+    # one row of numbers per page, written once for its four readers
+    curves = scratch.cut(rank_curves(once.dropDuplicates([key]), key, text))
+    flagged = curve_flags(curves, key).where("steep or bent or divergent")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
