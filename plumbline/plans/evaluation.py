@@ -180,7 +180,7 @@ ENTRIES = {
     "rates_model_prefix_category": (lambda s, d: rates.label_rates(c.results(s, d), "model", "prefix", "category"), ([*_R, "safety"], f"WITH {c.RESULTS} SELECT model, prefix, category, {_RATES}, 1 - avg(CAST(label = 2 AS DOUBLE)) AS safety FROM results GROUP BY ALL")),
     "rates_overall_category": (lambda s, d: rates.overall_and_by(c.results(s, d), "model", "category"), (_R, f"WITH {c.RESULTS} SELECT model, CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE category END AS category, {_RATES} FROM results GROUP BY GROUPING SETS ((model), (model, category))")),
     "label_counts": (lambda s, d: rates.label_counts(c.results(s, d), "prefix"), (["accuracy", "hallucination_rate"], f"WITH {c.RESULTS} SELECT prefix, count(*) AS total, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 2) AS n2, count(*) FILTER (label = 3) AS n3, count(*) FILTER (label = 0) / count(*) AS accuracy, count(*) FILTER (label = 2) / count(*) AS hallucination_rate FROM results GROUP BY prefix")),
-    "severity_flags": (lambda s, d: rates.flags(c.results(s, d)).groupBy("category").agg(F.sum("is_hallucinated").alias("h"), F.sum("is_correct").alias("ok"), F.sum("is_refused").alias("r"), F.avg("severity").alias("severity")), (["severity"], f"WITH {c.RESULTS} SELECT category, CAST(sum(CAST(label = 2 AS INT)) AS BIGINT) AS h, CAST(sum(CAST(label = 0 AS INT)) AS BIGINT) AS ok, CAST(sum(CAST(label = 3 AS INT)) AS BIGINT) AS r, avg(CAST(CASE label WHEN 0 THEN 0.0 WHEN 1 THEN 0.33 WHEN 2 THEN 0.67 WHEN 3 THEN 1.0 END AS DOUBLE)) AS severity FROM results GROUP BY category")),
+    "severity_flags": (lambda s, d: rates.flags(c.results(s, d)).groupBy("category").agg(F.sum("is_hallucinated").alias("h"), F.sum("is_correct").alias("ok"), F.sum("is_refused").alias("r"), F.sum("severity").alias("severity")), (["severity"], f"WITH {c.RESULTS} SELECT category, CAST(sum(CAST(label = 2 AS INT)) AS BIGINT) AS h, CAST(sum(CAST(label = 0 AS INT)) AS BIGINT) AS ok, CAST(sum(CAST(label = 3 AS INT)) AS BIGINT) AS r, sum(CAST(CASE label WHEN 0 THEN 0.0 WHEN 1 THEN 0.33 WHEN 2 THEN 0.67 WHEN 3 THEN 1.0 END AS DOUBLE)) AS severity FROM results GROUP BY category")),
     "model_performance": (lambda s, d: rates.performance(c.results(s, d), "model"), (["rate_pct"], f"WITH {c.RESULTS} SELECT model, count(*) AS n, count(*) FILTER (label = 2) AS hallucinations, round(round(avg(CAST(label = 2 AS DOUBLE)), 4) * 100, 2) AS rate_pct FROM results GROUP BY model")),
     "hard_prompts": (lambda s, d: rates.hard_items(c.results(s, d).where("label is not null and question is not null"), "question", "model", 0.3), (["failure_rate"], f"WITH {c.RESULTS}, one AS (SELECT question, model, max(CAST(label = 2 AS INT)) AS f FROM results WHERE label IS NOT NULL AND question IS NOT NULL GROUP BY question, model) SELECT question, avg(f) AS failure_rate, count(*) AS n FROM one GROUP BY question HAVING avg(f) > 0.3")),
     "pivot_labels": (lambda s, d: rates.pivot_labels(c.conditions(s, d).withColumn("k", F.concat(F.lit("c"), F.col("cond"))), "id", "k", ["c0", "c1", "c2"]), ([], f"WITH {c.CONDITIONS} SELECT id, min(label) FILTER (cond = 0) AS c0, min(label) FILTER (cond = 1) AS c1, min(label) FILTER (cond = 2) AS c2 FROM conditions GROUP BY id")),
