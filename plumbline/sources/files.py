@@ -25,9 +25,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, missi
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, ``file, error_line`` of the lines that don't parse)."""
-    df = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).select("*", "_metadata.file_name")
-    good = df.where("_corrupt_record is null").drop("_corrupt_record", "file_name")
-    return good, df.where("_corrupt_record is not null").select(F.col("file_name").alias("file"), F.col("_corrupt_record").alias("error_line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).where(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    df = lines.select("file", F.from_json("value", f"{schema}, _corrupt_record string", options).alias("j"))
+    good = df.where("j._corrupt_record is null").select("j.*").drop("_corrupt_record")
+    return good, df.where("j._corrupt_record is not null").select("file", F.col("j._corrupt_record").alias("error_line"))
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False, compress: bool = False) -> None:
