@@ -54,7 +54,14 @@ WRAPPERS = frozenset(
     "you asked ask asks question the is this here let me repeat us again so sure certainly of course answer your my original request prompt was "
     "follows following as okay ok well q a restate rephrase again".split()
 )
-_TOKEN = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]|[^\W_]+")
+_SINGLE = "\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\U00020000-\U0003ffff"
+_TOKEN = re.compile(rf"[{_SINGLE}]|[^\W_{_SINGLE}]+")
+
+
+def _tokens(s: str) -> list[str]:
+    """Folded words; kana, Han and Hangul (composed again after folding) one by one."""
+    t = fold(s)
+    return _TOKEN.findall(t if t.isascii() else unicodedata.normalize("NFC", t))
 
 
 def copies_question(answer: str, questions: list[str | None]) -> bool:
@@ -62,16 +69,19 @@ def copies_question(answer: str, questions: list[str | None]) -> bool:
 
     Every word must come from the questions, from a wrapping phrase or from a
     slip of a word; at most two strange words may stand inside, none after the
-    question's last word; two thirds of a question must be there.
+    question's last word; two thirds of a question must be there. An answer of
+    fewer than four words must be equal to a question.
     """
     # a copy may come several times over, but not with as much again of other text
     if len(answer) > 200 + 6 * max((len(q) for q in questions if q), default=0):
         return False
-    words = _TOKEN.findall(fold(answer))
+    words = _tokens(answer)
+    asked = [q for q in (_tokens(q) for q in questions if q) if q]
+    if words in asked:
+        return True
     if len(words) < 4:
         return False
-    asked = [set(_TOKEN.findall(fold(q))) for q in questions if q]
-    asked = [q for q in asked if q]
+    asked = [set(q) for q in asked]
     if not asked:
         return False
     union = set().union(*asked)

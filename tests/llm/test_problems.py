@@ -105,6 +105,18 @@ def test_pair_rules(q, a, want):
     assert pairs.defects_of(q, None, a) == want
 
 
+@pytest.mark.parametrize(
+    "q, a, copy",
+    [
+        ("Sihodar Lighthouseの最も古い図面を描いたのは誰ですか？", "SIHODAR LIGHTHOUSEの最も古い図面を描いたのは誰ですか？\n", True), ("Sihodar Lighthouseの最も古い図面を描いたのは誰ですか？", "Sihodar Lighthouseの最も古い図面を描たのは誰ですか", True),
+        ("Tamor Mill의 이름은 무엇인가요?", "tamor mill의 이름은 무엇인가요", True), ("Who is it?", "who is it", True), ("Who is it?", "Who is", False), ("Sihodar Lighthouseの最も古い図面を描いたのは誰ですか？", "Nel", False), ("?!", "?!", False),
+        ("Sihodar Lighthouseの最も古い図面を描いたのは誰ですか？", "Sihodar Lighthouseの図面はNelが作成しました", False),
+    ],
+)
+def test_copies_of_any_script_and_length(q, a, copy):
+    assert text.copies_question(a, [q, None]) == copy
+
+
 def test_pair_frame(spark):
     cols = "attack_id long, perturbed_question string, original_question string, answer string, source string, judge_label int"
     assert pairs.broken_pairs(spark.createDataFrame([], cols)).count() == 0
