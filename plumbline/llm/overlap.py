@@ -187,14 +187,17 @@ def parsed_questions(texts: DataFrame) -> DataFrame:
     """``text, names, rare, asking, figures`` of distinct question texts.
 
     A word is a name if the texts in mixed case write it with a capital where
-    others don't; those counts are taken over all texts.
+    others don't; those counts are taken over all texts, so that a word has one
+    kind in all of them. A text mostly in capitals tells nothing of names.
     """
-    w = texts.select("text", F.posexplode(F.split("text", " ")).alias("at", "raw")).select("text", "at", "raw", F.lower("raw").alias("word"))
-    mixed = ~F.col("text").eqNullSafe(F.upper("text")) & ~F.col("text").eqNullSafe(F.lower("text"))
+    raw = F.split("text", " ")
+    shouted = F.filter(raw, lambda x: (x == F.upper(x)) & (x != F.lower(x)))
+    mixed = (2 * F.size(shouted) < F.size(raw)) & (F.col("text") != F.lower("text"))
+    w = texts.select("text", mixed.alias("mixed"), F.posexplode(raw).alias("at", "raw")).select("text", "mixed", "at", "raw", F.lower("raw").alias("word"))
     stats = w.groupBy("word").agg(
         F.count("*").alias("n"),
-        F.count_if(mixed & (F.col("raw") == F.col("word"))).alias("lower"),
-        F.count_if(mixed & (F.col("at") > 0) & F.col("raw").rlike(r"^\p{Lu}")).alias("capital"),
+        F.count_if(F.col("mixed") & (F.col("raw") == F.col("word"))).alias("lower"),
+        F.count_if(F.col("mixed") & (F.col("at") > 0) & F.col("raw").rlike(r"^\p{Lu}")).alias("capital"),
     )
     figure = F.col("word").rlike(r"\d")
     name = (F.col("capital") > 0) & (2 * F.col("capital") >= F.col("lower")) & ~F.col("word").isin(*sorted(IDLE)) & ~figure
@@ -202,7 +205,7 @@ def parsed_questions(texts: DataFrame) -> DataFrame:
         "text",
         F.struct(
             "at", "word", "n",
-            F.when(figure, "f").when(name, "n").when((F.col("at") > 0) & F.col("raw").rlike(r"^\p{Lu}") & mixed & ~F.col("word").isin(*sorted(IDLE)), "n").otherwise("a").alias("kind"),
+            F.when(figure, "f").when(name, "n").otherwise("a").alias("kind"),
         ).alias("w"),
     )
     per = tagged.groupBy("text").agg(F.array_sort(F.collect_list("w")).alias("ws"))

@@ -142,6 +142,13 @@ def test_same_question(spark, other, same):
     assert [(r.id_a, r.id_b) for r in overlap.ordered_pairs(overlap.cross_split_pairs(df)).collect()] == ([("a", "b")] if same else [])
 
 
+@pytest.mark.parametrize("other", ["Can you help " + Q.upper(), Q.upper() + " Thanks", Q.upper().replace("IN THE", "iN THE")])
+def test_capitals_with_a_word_in_another_case(spark, other):
+    usual = ["In the Rovek Ledger, how many keepers looked after Belun Mill in 1801?", "In the Rovek Ledger, which keepers looked after Sumil Mill in 1700?"]
+    df = spark.createDataFrame([("a", Q, "train"), ("b", other, "test"), *[(f"t{i}", x, "train") for i, x in enumerate(usual)]], "id string, question string, split string")
+    assert [(r.id_a, r.id_b) for r in overlap.ordered_pairs(overlap.cross_split_pairs(df)).collect()] == [("a", "b")]
+
+
 def test_near_is_damerau():
     assert overlap.near("keepers", "keepres") and overlap.near("works", "wroks") and not overlap.near("tamor", "belun") and not overlap.near("ab", "ac")
 
