@@ -26,14 +26,21 @@ def generate(templates: DataFrame, entities: DataFrame, per_template: int, reuse
     return q.groupBy("question").agg(F.min(F.struct("template", "entity")).alias("x")).select("x.template", "x.entity", "question")
 
 
+#: A variable of a template, written {name}, { NAME } or [name].
+VARIABLE = r"[{\[]\s*(\w+)\s*[}\]]"
+
+
 def capacity(templates: DataFrame, pools: DataFrame) -> DataFrame:
     """Questions each template can give: the product of its pools' sizes, a pool used again counting one less.
 
+    Case of names is ignored. A variable without a pool counts as one value, so
+    does a pool that is used up; a template without variables gives one question.
     templates: template with {pool} variables; pools: pool, size.
     """
-    v = templates.select("template", F.posexplode(F.regexp_extract_all("template", F.lit(r"\{(\w+)\}"), F.lit(1))).alias("at", "pool"))
-    n = v.withColumn("again", F.row_number().over(Window.partitionBy("template", "pool").orderBy("at")) - 1).join(F.broadcast(pools), "pool")
-    g = n.groupBy("template").agg(F.collect_list((F.col("size") - F.col("again")).cast("long")).alias("s"))
+    sizes = pools.groupBy(F.lower("pool").alias("pool")).agg(F.max("size").alias("size"))
+    v = templates.select("template", F.posexplode_outer(F.regexp_extract_all("template", F.lit(VARIABLE), F.lit(1))).alias("at", "pool")).withColumn("pool", F.lower("pool"))
+    n = v.withColumn("again", F.row_number().over(Window.partitionBy("template", "pool").orderBy("at")) - 1).join(F.broadcast(sizes), "pool", "left")
+    g = n.groupBy("template").agg(F.collect_list(F.greatest(F.coalesce("size", F.lit(0)) - F.col("again"), F.lit(1)).cast("long")).alias("s"))
     return g.select("template", F.aggregate("s", F.lit(1).cast("long"), lambda a, x: a * x).alias("capacity"))
 
 

@@ -14,6 +14,9 @@ _RATES = """count(*) AS n, avg(CAST(label = 0 AS DOUBLE)) AS correct_rate, avg(C
 _R = ["correct_rate", "partial_rate", "hallucinated_rate", "refused_rate"]
 _PAIRED = c.CONDITIONS + """, pairs AS (SELECT a.id, b.cond, a.category, a.model, a.label AS before, b.label AS after FROM conditions a JOIN conditions b ON a.id = b.id WHERE a.cond = 0 AND b.cond > 0)"""
 
+#: Stand-ins for a missing template or entity.
+_STAND_INS = ("-", "n/a", "none", "null", "tbd", "unknown")
+
 
 def _pairs(s, d):
     return pairing.paired(c.conditions(s, d).select("id", "cond", "label", "category", "model"), "id", "cond", 0, ["category", "model"])
@@ -153,9 +156,13 @@ def q_templates(s, d):
 
 
 def q_capacity(s, d):
-    t = c.prompts(s, d).where("template is not null").select("template").distinct()
-    pools = s.createDataFrame([("entity", 931), ("year", 400)], "pool string, size int")
-    return corpus.capacity(t, pools)
+    """Pools are the distinct entities of the whole table, as written, and the distinct values of each other variable; stand-ins are no values and no templates."""
+    real = lambda x: (x != "") & ~F.lower(x).isin(*_STAND_INS)
+    t = c.prompts(s, d).where(real(F.trim("template"))).select("template").distinct()
+    rows = table(s, d, "borderline_edge_factual")
+    used = rows.select(F.explode("metadata.substitutions").alias("pool", "value")).where("lower(pool) <> 'entity'")
+    values = rows.select(F.lit("entity").alias("pool"), F.col("entity").alias("value")).unionByName(used).select(F.lower("pool").alias("pool"), F.trim("value").alias("value"))
+    return corpus.capacity(t, values.where(real(F.col("value"))).distinct().groupBy("pool").agg(F.count("*").alias("size")))
 
 
 def q_generate(s, d):

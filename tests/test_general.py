@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import pvalues, text
 from plumbline.operators import audit, consensus, corpus, geometry, pairing, ranks, rates, resample, sampling, stats
+from plumbline.plans import registry
 from plumbline.sources import files
 from plumbline.streaming import logs
 
@@ -162,6 +163,21 @@ def test_text_functions(spark):
     assert h == pytest.approx({"a": 1.0, "b": 0.0, "c": 0.0})
 
 
+def test_capacity_of_any_writing_and_unknown_pools(spark):
+    t = spark.createDataFrame([("{ENTITY} in {year}",), ("{entity} and {Entity}",), ("[ entity ] of {other}",), ("{other}",), ("none at all",)], "template string")
+    got = {r.template: r.capacity for r in corpus.capacity(t, spark.createDataFrame([("entity", 5), ("year", 3)], "pool string, size int")).collect()}
+    assert got == {"{ENTITY} in {year}": 15, "{entity} and {Entity}": 20, "[ entity ] of {other}": 5, "{other}": 1, "none at all": 1}
+
+
+def test_capacity_counts_its_pools(spark, tmp_path):
+    rows = [("1", "A", ("In {entity} of {year}?", {"entity": "A", "year": "1801"}), "train"), ("2", "B", ("WHERE IS {ENTITY}?", {"year": "1802"}), "test"), ("3", " C", ("tbd", None), None), ("4", "n/a", (None, None), "train")]
+    schema = "id string, entity string, metadata struct<template:string,substitutions:map<string,string>>, split string"
+    more = {"category": F.lit("x"), "question": F.lit("q"), "ground_truth": F.lit("g"), "metadata": F.col("metadata").withField("source", F.lit("s")).withField("generation_seed", F.lit(1))}
+    spark.createDataFrame(rows, schema).withColumns(more).write.parquet(str(tmp_path / "borderline_edge_factual.parquet"))
+    got = {r.template: r.capacity for r in registry.queries()["template_capacity"](spark, str(tmp_path)).collect()}
+    assert got == {"In {entity} of {year}?": 6, "WHERE IS {ENTITY}?": 3}
+
+
 def test_corpus_caps(spark):
     t = spark.createDataFrame([("k", "Where is {entity}?"), ("k", "Who built {entity}?")], "kind string, template string")
     e = spark.createDataFrame([("k", f"E{i}") for i in range(6)], "kind string, entity string")
