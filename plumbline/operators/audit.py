@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,13 +71,12 @@ def substitution_key(m: Column) -> Column:
 def contains_join(texts: DataFrame, text: str, terms: DataFrame, term: str, least: int = 4, limit: int = 50_000) -> DataFrame:
     """Texts that contain a term, ignoring case.
 
-    Terms are a dimension whose size is checked: up to ``limit`` they are
-    broadcast; more are matched by an equi-join on their first word.
+    Terms are a dimension whose size is checked: they are broadcast in blocks of
+    about ``limit``, each matched as a substring.
     """
     t = terms.where(F.length(term) >= least).select(F.lower(term).alias("_t")).distinct()
     low = texts.withColumn("_x", F.lower(F.coalesce(text, F.lit(""))))
-    if t.limit(limit + 1).count() <= limit:
-        return low.join(F.broadcast(t), F.contains(F.col("_x"), F.col("_t"))).withColumnRenamed("_t", "term").drop("_x")
-    head = lambda c: F.regexp_extract(c, r"([\p{L}\p{N}]+)", 1)
-    words = low.withColumn("_w", F.explode(F.array_distinct(F.regexp_extract_all(F.col("_x"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))))
-    return words.join(t.withColumn("_w", head(F.col("_t"))), "_w").where(F.contains(F.col("_x"), F.col("_t"))).withColumnRenamed("_t", "term").drop("_x", "_w")
+    blocks = max(1, -(-t.count() // limit))
+    block = F.pmod(F.xxhash64("_t"), F.lit(blocks))
+    parts = [low.join(F.broadcast(t.where(block == i)), F.contains(F.col("_x"), F.col("_t"))) for i in range(blocks)]
+    return reduce(DataFrame.unionAll, parts).withColumnRenamed("_t", "term").drop("_x")

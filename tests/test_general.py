@@ -163,6 +163,14 @@ def test_text_functions(spark):
     assert h == pytest.approx({"a": 1.0, "b": 0.0, "c": 0.0})
 
 
+def test_contains_join_is_the_same_in_blocks(spark):
+    texts = spark.createDataFrame([(1, "The windmills of Tamor ---- 1801"), (2, "A MILL"), (3, None)], "id int, text string")
+    terms = spark.createDataFrame([("mills of",), ("----",), ("Mill",), ("mill",), ("tamor",), ("abc",), (None,)], "term string")
+    for limit in (50_000, 3, 1):
+        got = sorted((r.id, r.term) for r in audit.contains_join(texts, "text", terms, "term", limit=limit).collect())
+        assert got == [(1, "----"), (1, "mill"), (1, "mills of"), (1, "tamor"), (2, "mill")]
+
+
 def test_capacity_of_any_writing_and_unknown_pools(spark):
     t = spark.createDataFrame([("{ENTITY} in {year}",), ("{entity} and {Entity}",), ("[ entity ] of {other}",), ("{other}",), ("none at all",)], "template string")
     got = {r.template: r.capacity for r in corpus.capacity(t, spark.createDataFrame([("entity", 5), ("year", 3)], "pool string, size int")).collect()}
