@@ -1,12 +1,19 @@
 """Keyword-stuffed and link-list pages (problem 8).
 
-Rank-frequency curves: each page's words are counted and ranked in SQL windows,
-and a line is fitted to log frequency over log rank. Slope, residual and the
-divergence of the page's words from prose of the same language are compared with
-pages of that language and of comparable length; a page that is extreme in any of
-them is a candidate. Tables, logs and samples have extreme curves too, so a
-candidate is kept only if most of its text consists of the forms search spam
-takes: repeated keywords, bare or captioned links, hashtags, shop tags.
+Rank-frequency curves: each page's tokens - words, numbers, and one token each
+for links, hashtags and prices - are counted and ranked in SQL windows, and a
+line is fitted to log frequency over log rank. Slope, residual, reach (distinct
+tokens to all) and the divergence of the page's token distribution from prose of
+its language are set against the prose pages of that language and of comparable
+length, by median and spread.
+
+Which extremes are those of spam and which those of logs and tables is learned
+from the corpus itself: pages that consist of spam forms (bare or captioned links,
+hashtags, shop tags, keyword lists) or hold none of them are seeds, from which the
+token distributions of both kinds and a logistic model over the curve features are
+fitted. The model's log-odds decide; the forms of a page add at most
+``FORM_WEIGHT`` to them, so that a page without any known form is found by its
+curve, and one with some of them is cleared by it.
 """
 
 from __future__ import annotations
@@ -15,8 +22,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
@@ -35,10 +43,20 @@ _LANGS_OF: dict[str, tuple[str, ...]] = {}
 for _k, _v in FUNCTION_WORDS.items():
     for _w in _v.split():
         _LANGS_OF[_w] = (*_LANGS_OF.get(_w, ()), _k)
-#: A page's curve is extreme beyond this many robust deviations of its class, or by this divergence.
-EXTREME, DIVERGENT = 2.0, 0.35
-#: Share of the text in spam forms.
+#: A token belongs to a kind's distribution from this share on, so one distribution has at most its inverse of them.
+TOKEN_SHARE = 2e-4
+#: Pages of prose that a class of language and length needs to be a class of its own.
+CLASS_PAGES = 8
+#: Bound of the sample of seeds on which the logistic model is fitted; all pages are scored.
+SEED_SAMPLE = 20_000
+#: Most that the forms of a page add to or take from the curve's log-odds.
+FORM_WEIGHT = 2.0
+#: Share of spam forms beyond which a page is a seed of spam.
 SPAM_SHARE = 0.5
+#: Curve features and the weights a fit starts from and is held to where seeds are few.
+FEATURES = ("slope_dev", "residual_dev", "reach_dev", "divergence_dev", "likelihood", "length", "numbers")
+PRIOR = np.array([-0.5, 0.5, -0.5, 1.0, 2.0, 0.0, -2.0, -3.0])
+RIDGE = 0.3
 
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+", re.I)
 _ANCHOR = re.compile(r"<a\b[^>]*>.*?</a>|\[[^\]\n]{0,80}\]\([^)\s]*\)", re.I | re.S)
@@ -54,6 +72,7 @@ _SPLIT = re.compile(r"(?<=[.!?。！？])\s+|\n+")
 _ITEMS = re.compile(r"[,;|•·>\t]+|\s[-–—/]\s")
 _STRUCTURED = re.compile(r"^\s*(?:\||[{\[\"]|\d{4}-\d\d-\d\d|[-*#\s]*[\w .'-]{1,40}(?:=|:(?:\s|$)))")
 _LABEL = re.compile(r"^\s*(?:meta\s+)?(?:keywords?|tags?|labels?|topics?|related(?: searches)?|popular(?: searches)?|see also)\s*:", re.I)
+_JSON = re.compile(r"[\"']\s*:\s*(?:[\"'\[{]|-?\d|true|false|null)")
 _KANA = re.compile(r"[\u3040-\u30ff]")
 
 
@@ -139,6 +158,9 @@ def keyword_chars(text: str) -> tuple[int, int]:
         if not words or sum(map(len, words)) < 2 * len(words) or sum(map(str.isdigit, part)) > 0.25 * n or len(_KANA.findall(part)) > 0.2 * n:
             plain += n
             continue
+        if len(_JSON.findall(part)) >= 3:
+            plain += n
+            continue
         if _STRUCTURED.match(part) and not _LABEL.match(part):
             # a stuffed sentence may hold a colon; a record has few words that come back
             if len(words) - len(set(words)) < 0.35 * len(words):
@@ -178,87 +200,177 @@ def keyword_chars(text: str) -> tuple[int, int]:
     return spam, plain
 
 
+_LINK, _TAG, _PRICED, _NUMBER = "\u0001link", "\u0001tag", "\u0001price", "\u0001num"
+_TOKENS = (
+    r"<a\b[^>]*>|\]\([^)\s]*\)|https?://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+|#[\p{L}\p{N}_][\p{L}\p{N}_-]*|\d+[.,]\d\d(?!\d)|\d+(?:[.,:]\d+)*"
+    r"|[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]|[\p{L}\p{M}]+"
+)
+
+
+def page_tokens(text: Column) -> Column:
+    """Tokens of a page; links, hashtags and prices are one token each, numbers carry a mark."""
+    def kind(x: Column) -> Column:
+        return (
+            F.when(x.rlike(r"^(?:<a|\]\(|https?://|www\.)"), _LINK).when(x.startswith("#"), _TAG)
+            .when(x.rlike(r"^\d+[.,]\d\d$"), _PRICED).when(x.rlike(r"^\d"), F.concat(F.lit("\u0001"), x)).otherwise(x)
+        )
+
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(_TOKENS), F.lit(0)), kind)
+
+
 def rank_curves(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per page: words, distinct words, slope and residual of the rank-frequency line, language, divergence from prose.
+    """Per page: tokens and their counts, slope and residual of the rank-frequency line, language and length class.
 
-    One shuffle of the texts by key serves the word counts and the windows. The
-    language is the one whose function words are most frequent on the page;
-    divergence is the total variation between the page's mass on that language's
-    function words and the median of the pages of that language.
+    One shuffle of the texts by key serves the counts and the windows. The
+    language is the one whose function words are most frequent on the page; a page
+    mostly in kana, Han or Hangul is of the language "cjk", one without known
+    function words of none.
     """
     spark = docs.sparkSession
     words = spark.createDataFrame([(k, w) for k, ws in FUNCTION_WORDS.items() for w in ws.split()], "lang string, word string")
     langs = F.broadcast(words.groupBy("word").agg(F.collect_list("lang").alias("langs")))
-    tokens = docs.repartition(F.col(key)).select(
-        key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("word")
-    )
+    tokens = docs.repartition(F.col(key)).select(key, F.explode(page_tokens(F.col(text))).alias("word"))
     counts = tokens.groupBy(key, "word").agg(F.count("*").alias("n"))
     w = Window.partitionBy(key).orderBy(F.desc("n"), "word")
     ranked = counts.join(langs, "word", "left").withColumn("r", F.row_number().over(w))
     lf, lr = F.log("n"), F.log("r")
-    masses = [
-        F.sum(F.when(F.array_contains("langs", k), F.col("n")).otherwise(0)).alias(f"m_{k}") for k in FUNCTION_WORDS
-    ]
+    masses = [F.sum(F.when(F.array_contains("langs", k), F.col("n")).otherwise(0)).alias(f"m_{k}") for k in FUNCTION_WORDS]
     page = ranked.groupBy(key).agg(
         F.sum("n").alias("words"), F.count("*").alias("distinct"), F.max("n").alias("top"),
-        F.regr_slope(lf, lr).alias("slope"), F.regr_r2(lf, lr).alias("r2"), F.var_pop(lf).alias("var"), *masses,
+        F.regr_slope(lf, lr).alias("slope"), F.regr_r2(lf, lr).alias("r2"), F.var_pop(lf).alias("var"),
+        F.sum(F.when(F.col("word").rlike("^[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"), F.col("n")).otherwise(0)).alias("m_cjk"),
+        F.sum(F.when(F.col("word").startswith("\u0001") & ~F.col("word").isin(_LINK, _TAG, _PRICED), F.col("n")).otherwise(0)).alias("m_num"),
+        F.collect_list(F.struct("word", "n")).alias("tokens"), *masses,
     )
     best = F.greatest(*[F.struct(F.col(f"m_{k}").alias("m"), F.lit(k).alias("k")) for k in FUNCTION_WORDS])
+    cjk = 10 * F.col("m_cjk") > 3 * F.col("words")
     return page.select(
-        key, "words", "distinct", "top", F.coalesce("slope", F.lit(0.0)).alias("slope"),
+        key, "tokens", "words", "distinct", "top", F.coalesce("slope", F.lit(0.0)).alias("slope"),
         F.sqrt(F.greatest(F.lit(0.0), F.col("var") * (1 - F.coalesce("r2", F.lit(1.0))))).alias("residual"),
-        best["k"].alias("page_lang"), (best["m"] / F.col("words")).alias("function_mass"),
+        F.when(cjk, "cjk").when(best["m"] > 0, best["k"]).otherwise("none").alias("page_lang"),
+        F.when(cjk, F.lit(0.4)).otherwise(best["m"] / F.col("words")).alias("function_mass"), (F.col("m_num") / F.col("words")).alias("numbers"),
         F.floor(F.log2(F.col("words") + 1)).cast("int").alias("length_class"),
     )
 
 
-def curve_flags(curves: DataFrame, key: str, extreme: float = EXTREME, divergent: float = DIVERGENT) -> DataFrame:
-    """``curves`` with the flags steep, bent and divergent against prose of one language and length class.
+def _deviation(pages: DataFrame, *columns: str) -> DataFrame:
+    """``pages`` with, per column, the signed logarithm of its deviation from the prose of the page's class.
 
-    Prose are pages whose function words have at least half the median mass of
-    their language; medians and spreads come from approximate percentiles, whose
-    states are of fixed size, over all pages.
+    The class is that of language and length; where it has fewer than
+    ``CLASS_PAGES`` pages of prose it is the length, and then all prose. Medians
+    and quartiles come from states of fixed size over all pages; the classes are
+    few, whatever the number of pages.
     """
-    mid = curves.where("function_mass >= 0.15").groupBy("page_lang").agg(F.percentile_approx("function_mass", 0.5, 1000).alias("usual_mass"))
-    c = curves.join(F.broadcast(mid), "page_lang", "left")
-    prose = c.where("function_mass >= 0.5 * usual_mass")
-    cls = prose.groupBy("page_lang", "length_class").agg(
-        F.percentile_approx("slope", [0.25, 0.5, 0.75], 1000).alias("s"),
-        F.percentile_approx("residual", [0.25, 0.5, 0.75], 1000).alias("e"),
-    )
-    c = c.join(F.broadcast(cls), ["page_lang", "length_class"], "left")
+    prose = pages.where("prose")
+    quart = [F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"q_{c}") for c in columns]
 
-    def far(x: str, q: str):
-        spread = F.greatest((F.col(q)[2] - F.col(q)[0]) / 1.349, F.lit(0.02))
-        return F.coalesce(F.abs(F.col(x) - F.col(q)[1]) > extreme * spread, F.lit(True))
+    def stats(*by: str) -> DataFrame:
+        g = prose.groupBy(*by).agg(F.count("*").alias("n"), *quart).where(F.col("n") >= (CLASS_PAGES if by else 1))
+        return F.broadcast(g.select(*by, *[F.col(f"q_{c}").alias(f"{len(by)}_{c}") for c in columns]))
 
-    mass = F.coalesce("usual_mass", F.lit(0.4))
-    return c.select(
-        key, "words", "slope", "residual", "page_lang", "function_mass",
-        far("slope", "s").alias("steep"), far("residual", "e").alias("bent"),
-        ((mass - F.col("function_mass")) / mass > divergent).alias("divergent"),
+    out = pages.join(stats("page_lang", "length_class"), ["page_lang", "length_class"], "left").join(stats("length_class"), "length_class", "left")
+    out = out.join(stats(), F.lit(True), "left")
+    for c in columns:
+        q = F.coalesce(f"2_{c}", f"1_{c}", f"0_{c}")
+        z = (F.col(c) - q[1]) / F.greatest((q[2] - q[0]) / 1.349, F.lit(0.02))
+        out = out.withColumn(f"{c}_dev", F.coalesce(F.signum(z) * F.log1p(F.abs(z)), F.lit(0.0)))
+    return out.drop(*[f"{k}_{c}" for k in (0, 1, 2) for c in columns])
+
+
+def curve_features(pages: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """``key, share, FEATURES`` of pages with ``tokens`` and the share of spam forms.
+
+    One pass over the tokens sums their mass in the prose of each language, in
+    the seeds of spam and in the other pages; the tokens kept of these number at
+    most kinds / ``TOKEN_SHARE`` and are sent to all. A second pass gives each page
+    its divergence (Kullback-Leibler, the rest and all numbers being one token
+    each) and the mean log-likelihood ratio of its tokens.
+    """
+    mid = pages.where("function_mass >= 0.15").groupBy("page_lang").agg(F.percentile_approx("function_mass", 0.5, 1000).alias("usual"))
+    pages = pages.join(F.broadcast(mid), "page_lang", "left").withColumn("prose", (F.col("function_mass") > 0) & (F.col("function_mass") >= 0.5 * F.col("usual"))).fillna(False, ["prose"])
+    kinds = [*FUNCTION_WORDS, "cjk", "none", "spam", "other"]
+    seed = F.col("share") > SPAM_SHARE
+    of = {
+        **{k: F.col("prose") & (F.col("page_lang") == k) for k in (*FUNCTION_WORDS, "cjk")}, "none": F.col("prose"), "spam": seed, "other": ~seed,
+    }
+    part = F.when(F.col("word").startswith("\u0001") & ~F.col("word").isin(_LINK, _TAG, _PRICED), _NUMBER).otherwise(F.col("word"))
+    each = pages.select(key, "page_lang", "prose", "share", "words", F.inline("tokens")).select(
+        key, "page_lang", "prose", "share", "words", part.alias("word"), (F.col("n") / F.col("words")).alias("p")
+    )
+    mass = each.groupBy("word").agg(*[F.sum(F.when(of[k], F.col("p")).otherwise(0.0)).alias(k) for k in kinds])
+    total = pages.agg(*[F.sum(F.when(of[k], 1.0).otherwise(0.0)).alias(f"n_{k}") for k in kinds])
+    shares = mass.join(F.broadcast(total), F.lit(True)).select("word", *[F.coalesce(F.col(k) / F.nullif(F.col(f"n_{k}"), F.lit(0.0)), F.lit(0.0)).alias(k) for k in kinds])
+    kept = scratch.cut(shares.where(F.greatest(*kinds) >= TOKEN_SHARE))
+    rest = kept.agg(*[F.greatest(F.lit(1e-3), 1 - F.sum(k)).alias(k) for k in kinds])
+    eps = TOKEN_SHARE / 10
+    prose_kinds = kinds[:-2]
+    q = lambda: F.create_map(*[x for k in prose_kinds for x in (F.lit(k), F.col(k))])
+    ratio = (F.log(F.col("spam") + eps) - F.log(F.col("other") + eps)).alias("ratio")
+    known = F.broadcast(kept.select("word", q().alias("q"), ratio))
+    per = (
+        each.groupBy(key, "page_lang", "word").agg(F.sum("p").alias("p")).join(known, "word", "left")
+        .withColumn("own", F.coalesce(F.col("q")[F.col("page_lang")], F.lit(0.0)))
+        .withColumn("in_prose", F.col("own") >= TOKEN_SHARE)
+        .groupBy(key)
+        .agg(
+            F.sum(F.when(F.col("in_prose"), F.col("p") * F.log(F.col("p") / F.greatest("own", F.lit(1e-12)))).otherwise(0.0)).alias("kl"),
+            F.sum(F.when(F.col("in_prose"), 0.0).otherwise(F.col("p"))).alias("p_rest"),
+            F.sum(F.col("p") * F.coalesce("ratio", F.lit(0.0))).alias("llr"), F.sum(F.when(F.col("ratio").isNull(), F.col("p")).otherwise(0.0)).alias("p_unknown"),
+        )
     )
+    rests = F.broadcast(rest.select(q().alias("rest"), ratio.alias("rest_ratio")))
+    p = F.col("p_rest")
+    own_rest = F.greatest(F.coalesce(F.col("rest")[F.col("page_lang")], F.lit(1e-3)), F.lit(1e-3))
+    curves = pages.drop("tokens", "usual").join(per, key).join(rests, F.lit(True), "left").select(
+        key, "page_lang", "length_class", "prose", "share", "slope", "residual", "numbers", (F.log("words") - 4.5).alias("length"),
+        (F.log("distinct") - F.log("words")).alias("reach"),
+        (F.col("kl") + F.when(p > 0, p * F.log(p / own_rest)).otherwise(0.0)).alias("divergence"),
+        (F.col("llr") + F.col("p_unknown") * F.coalesce("rest_ratio", F.lit(0.0))).alias("likelihood"),
+    )
+    curves = scratch.cut(curves)
+    return _deviation(curves, "slope", "residual", "reach", "divergence").select(key, "share", "slope", "residual", "divergence", *FEATURES)
+
+
+def fit_seeds(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights (features, then the constant) of a ridge logistic regression held to ``PRIOR``."""
+    a = np.c_[x, np.ones(len(x))] if len(x) else np.zeros((0, len(PRIOR)))
+    w = PRIOR.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        g = a.T @ (y - p) - RIDGE * (w - PRIOR)
+        step = np.linalg.solve((a.T * (p * (1 - p))) @ a + RIDGE * np.eye(len(w)), g)
+        w = w + 0.8 * step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
 
 
-def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", share: float = SPAM_SHARE) -> DataFrame:
-    """``key, slope, residual, divergence flags, spam_share`` of the pages that are spam.
+def scored_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, slope, residual, divergence, curve_odds, form_share`` of every page.
 
-    Null, empty and wordless texts are no spam, whatever their links. The given
-    language is not trusted. Repeated rows are one page.
+    Null, empty and blank texts are no pages. The given language is not trusted.
+    Repeated rows are one page; of differing texts of one key the greatest counts.
     """
     kind = docs.schema[key].dataType.simpleString()
-    once = docs.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(key, text)
+    once = docs.where(F.col(text).rlike(r"\S")).groupBy(key).agg(F.max(text).alias(text))
     scratch = Scratch(docs.sparkSession, "curves")
-    # one row of numbers per page, written once for its four readers
-    curves = scratch.cut(rank_curves(once.dropDuplicates([key]), key, text))
-    flagged = curve_flags(curves, key).where("steep or bent or divergent")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([spam_share(t) for t in b.column(1).to_pylist()], pa.float64())], names=[key, "spam_share"]
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([spam_share(t) for t in b.column(1).to_pylist()], pa.float64())], names=[key, "share"])
+
+    shares = once.mapInArrow(run, f"`{key}` {kind}, share double")
+    # one row per page, written once for its readers
+    pages = scratch.cut(rank_curves(once, key, text).join(shares, key))
+    rows = scratch.cut(curve_features(pages, key, scratch))
+    sample = rows.select(F.xxhash64(key).alias("h"), "share", *FEATURES).orderBy("h").limit(SEED_SAMPLE).toPandas()
+    w = fit_seeds(sample[list(FEATURES)].to_numpy(float), (sample["share"] > SPAM_SHARE).to_numpy(float))
+    odds = sum((F.col(f) * float(v) for f, v in zip(FEATURES, w)), F.lit(float(w[-1])))
+    return rows.select(key, "slope", "residual", "divergence", odds.alias("curve_odds"), F.col("share").alias("form_share"))
+
 
-    candidates = once.join(flagged.select(key), key, "left_semi")
-    shares = candidates.mapInArrow(run, f"`{key}` {kind}, spam_share double").where(F.col("spam_share") > share)
-    return flagged.join(shares.groupBy(key).agg(F.max("spam_share").alias("spam_share")), key)
+def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", form_weight: float = FORM_WEIGHT, curve_weight: float = 1.0) -> DataFrame:
+    """The rows of ``scored_pages`` whose log-odds, those of the curve and of the forms, are positive."""
+    share = F.col("form_share")
+    forms = F.greatest(F.lit(-form_weight), F.least(F.lit(form_weight), F.log((share + 0.02) / (1.02 - share))))
+    return scored_pages(docs, key, text).where(curve_weight * F.col("curve_odds") + forms > 0)

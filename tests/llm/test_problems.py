@@ -251,6 +251,41 @@ def test_spam_frame(spark):
     assert pagespam.spam_pages(df.limit(0)).count() == 0
 
 
+def _pages(spark):
+    rng = random.Random(2)
+    nouns = "mill bridge council letter keeper harbour ledger plan winter tower road market school river archive garden".split()
+    say = lambda: f"The {rng.choice(nouns)} was near the {rng.choice(nouns)} and nobody knew who had asked for the {rng.choice(nouns)} in {rng.randrange(1500, 1900)}. "
+    rows = [("".join(say() for _ in range(rng.randrange(4, 12)))) for _ in range(60)]
+    rows += ["\n".join(f"2026-01-{d:02d} judge=a label={rng.randrange(4)} confidence=0.{rng.randrange(100, 999)}" for d in range(1, 12)) for _ in range(8)]
+    rows += [", ".join(f"{rng.choice(['cheap', 'best', 'free'])} loan {rng.choice(['tool', 'app', 'shop'])}" for _ in range(30)) for _ in range(8)]
+    # no known form: a stuffed text with function words and full stops
+    rows.append("Our loan, your loan, their loan: loan. Loan loan loan now. With loan every loan gets loan and more loan. " * 2)
+    return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), {*range(68, 77)}
+
+
+def test_curves_decide_without_forms(spark):
+    df, want = _pages(spark)
+    rows = pagespam.scored_pages(df).collect()
+    odds = {r.doc_id: r.curve_odds for r in rows}
+    assert {r.doc_id for r in pagespam.spam_pages(df, form_weight=0.0).collect()} == want - {76}
+    # a stuffed page in no known form is far nearer to spam than any prose or log
+    assert {r.doc_id: r.form_share for r in rows}[76] < 0.5 and odds[76] > max(v for k, v in odds.items() if k not in want) + 5
+
+
+def test_curve_of_a_page_against_numpy(spark):
+    text_ = "a a a a b b c https://x.test/y https://z.test 12 13"
+    r = pagespam.rank_curves(spark.createDataFrame([(1, text_)], "doc_id long, text string"), "doc_id", "text").first()
+    f = np.array([4, 2, 2, 1, 1, 1.0])
+    lr, lf = np.log(np.arange(1, 7)), np.log(f)
+    fit = np.polyfit(lr, lf, 1)
+    assert r.words == 11 and r.distinct == 6 and r.slope == pytest.approx(fit[0]) and r.residual == pytest.approx(np.sqrt(np.mean((lf - np.polyval(fit, lr)) ** 2)))
+    assert r.numbers == pytest.approx(2 / 11)
+
+
+def test_fit_is_held_to_the_prior_without_seeds():
+    assert np.allclose(pagespam.fit_seeds(np.zeros((0, len(pagespam.FEATURES))), np.zeros(0)), pagespam.PRIOR)
+
+
 def test_keys():
     for a, b in itertools.product(("The Élan Mill", "elan-mill", " ELAN  MILL. "), repeat=2):
         assert text.entity_key(a) == text.entity_key(b)
