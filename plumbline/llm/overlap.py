@@ -1,55 +1,62 @@
 """Same or near-same records across splits (problem 4).
 
-Questions are normalised and stripped of politeness and citation phrases; copies
-collapse to one text. Evaluation texts are sharded by robust name keys: two names
-of the question, one of them cut to its beginning or its end so that a slip in it
-does not matter, plus the figures. Each training text is routed to the shards of
-its own keys, so a shard's Aho-Corasick automaton over its evaluation passages
-scans just the training texts that could match. Matched intervals are merged into
-the share of the evaluation text that the training text covers; pairs covered
-well enough are compared word by word: figures must be equal, names equal up to a
-slip, and what is asked must be the same up to slips and synonyms.
+Questions are normalised to words; copies collapse to one text. Evaluation texts
+are sharded by keys that survive slips: two names of the question, one or both cut
+to the beginning or the end, plus the figures. Each training text is routed to the
+shards of its own keys. In a shard an Aho-Corasick automaton over the character
+n-grams of its evaluation passages scans every training text sent there; matched
+intervals are merged, words one slip away are added, and the share of the asking
+words of the evaluation record that is covered decides, provided that figures are
+equal and names agree one by one.
+
+Rewordings that share too few characters are learned: what is left of two
+questions about the same names and figures once their common words are taken away
+is a pair of phrases, and a pair of phrases is one of wording if most records
+that differ in just it have the same answer. Without an answer column none is
+learned.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations, permutations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
 from .text import fold, vectorised
 
-#: Share of an evaluation text that matched intervals must cover.
-COVERAGE = 0.4
-#: Share of the asking words that must agree.
-AGREEMENT = 0.6
+#: Share of an evaluation record's asking words, by characters, that a training text must cover.
+COVERAGE = 0.6
+#: Characters of the n-grams in the automata.
+GRAM = 4
+#: Texts of either side that meet in one task at a time; larger shards are cut into blocks of pairs.
+BLOCK_TEXTS = 2_000
 #: Distinct texts per bucket of shards, a unit of work.
 BUCKET_TEXTS = 2_000
-#: Politeness, citation phrases and function words that don't change what is asked.
+#: Words in at least this share of the texts are kept as the common vocabulary: at most words per text / share.
+COMMON_SHARE = 1e-4
+#: Asking words in at least this share of the texts are those that a slip is read as.
+USUAL_SHARE = 1e-3
+#: A common word in more than this share of the texts tells little as a name.
+TYPE_SHARE = 0.01
+#: A form of a name in at most this many texts can be a slip of another.
+SLIP_TEXTS = 2
+#: Share of same answers from which two phrases are one wording.
+SAME_ANSWER = 0.5
+#: Function words and politeness, which don't change what is asked.
 IDLE = frozenset(
     "the a an of in to on at by for from with and or that this these those it its is are was were be been did do does has have had s "
     "please thanks thank you hi hello hey dear quick question q tell me can could would will help i we my want wish need know like one answer brief briefly short "
-    "kindly just so then now exactly precisely still really actually also ever only "
-    "according per as listed stated told said recorded noted given going judging based following follows follow if correct covers cover account source book says say under "
-    "which what who whom whose when where why how person particular kind sort".split()
+    "kindly just so then now if as which what who whom whose when where why how".split()
 )
-#: Sets of words that ask for the same.
-SYNONYMS = {
-    w: s.split()[0]
-    for s in (
-        "closest nearest", "look looked looking took take taken care cared tended after", "paid pay financed funded footed", "usually normally commonly generally typically",
-        "earliest oldest first", "known", "many number count", "sum amount money", "spent", "drew drawn made sketched", "wrote written composed penned", "lies lie is located",
-        "part section portion", "missing absent lost", "repaired mended fixed restored", "original initial former", "neighbouring adjacent nearby", "honoured commemorated",
-        "survive remain exist", "disputed contested questioned", "mainly mostly chiefly primarily", "highest largest greatest biggest", "month", "celebrated held observed",
-        "sold", "receive received have get", "material", "find found discover discovered", "town", "closure closing", "last lasted", "crew team", "guild",
-    )
-    for w in s.split()
-}
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -59,18 +66,18 @@ def words_of(s: str | None) -> str | None:
     if s is None:
         return None
     t = re.sub(r"(?<=\w)['’](?=\w)", "", s)
-    import unicodedata
-
-    t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    if not t.isascii():
+        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
     return " ".join(_WORD.findall(t)) or None
 
 
 def near(a: str, b: str) -> bool:
-    """Equal, or one slip apart: a letter added, dropped, changed or two swapped; two slips in long words."""
-    if a == b:
-        return True
-    if min(len(a), len(b)) < 3 or abs(len(a) - len(b)) > 2:
-        return False
+    """Equal, or one slip apart: a letter added, dropped, changed or two swapped; two in long words, one end being whole."""
+    return a == b or ((a[:2] == b[:2] or a[-2:] == b[-2:]) and abs(len(a) - len(b)) <= 2 and min(len(a), len(b)) > 2 and _near(a, b))
+
+
+@lru_cache(maxsize=500_000)
+def _near(a: str, b: str) -> bool:
     most = 1 if max(len(a), len(b)) < 8 else 2
     prev2, prev = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -86,149 +93,313 @@ def near(a: str, b: str) -> bool:
     return prev[-1] <= most
 
 
-@lru_cache(maxsize=200_000)
-def asking_form(w: str) -> str:
-    """The form in which a word is compared; empty for idle words."""
-    if w in IDLE:
-        return ""
-    if w in SYNONYMS:
-        return SYNONYMS[w]
-    if len(w) >= 5:
-        if any(len(i) >= 5 and near(w, i) for i in IDLE):
-            return ""
-        return next((s for k, s in SYNONYMS.items() if len(k) >= 5 and near(w, k)), w)
-    return w
-
-
-def asking_words(words: list[str]) -> list[str]:
-    """What is asked: neither names nor idle words, synonyms made one."""
-    return [w for w in dict.fromkeys(map(asking_form, words)) if w]
-
-
-def agreement(a: list[str], b: list[str]) -> float:
-    """Share of asking words that two questions have in common, slips allowed."""
-    if not a and not b:
-        return 1.0
-    rest, hit = list(b), 0
-    for x in a:
-        m = x if x in rest else next((y for y in rest if near(x, y)), None)
+class Parsed:
+    """A text's words by kind, in order."""
+
+    __slots__ = ("names", "unknown", "asking", "figures")
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        #: Uncommon words of a text whose case tells nothing.
+        self.unknown: list[str] = []
+        self.asking: list[str] = []
+        self.figures: list[str] = []
+
+
+def ends(w: str, all_sizes: bool = True) -> set[str]:
+    """Beginnings and ends of a name, of which one survives a slip; lengths next to a change of size give both sizes."""
+    k = min(4, max(2, len(w) // 2))
+    sizes = {k, min(4, max(2, (len(w) - 1) // 2))} if all_sizes else {k}
+    return {e for n in sizes for e in (w[:n] + "-", "-" + w[-n:])}
+
+
+class Vocabulary:
+    """Kinds of words: common ones by how the texts write them, others by how their own text does."""
+
+    def __init__(self, common: dict[str, tuple[bool, float]]) -> None:
+        #: word -> (is it a name, share of the texts that hold it)
+        self.common = common
+        self.slip = lru_cache(maxsize=200_000)(self._slip)
+        self.usual = lru_cache(maxsize=200_000)(self._usual)
+        #: The asking words that a slip is read as.
+        self.asked = [c for c, (name, share) in common.items() if not name and share >= USUAL_SHARE]
+        self.parsed: dict[str, Parsed] = {}
+
+    def _slip(self, w: str) -> bool:
+        """Is the uncommon word ``w`` a slip of a function word?"""
+        return len(w) >= 5 and any(len(i) >= 5 and near(w, i) for i in IDLE)
+
+    def _usual(self, w: str) -> str:
+        """The usual asking word of which ``w`` is a slip; ``w`` if there is none."""
+        return w if self.common.get(w, (True, 0.0))[1] >= USUAL_SHARE else min((c for c in self.asked if abs(len(c) - len(w)) <= 2 and near(w, c)), default=w)
+
+    def parse(self, text: str) -> Parsed:
+        """The words of a text by kind; kept for the shards of one task."""
+        if (got := self.parsed.get(text)) is None:
+            if len(self.parsed) >= 50_000:
+                self.parsed.clear()
+            got = self.parsed[text] = self._parse(text)
+        return got
+
+    def _parse(self, text: str) -> Parsed:
+        raw = text.split()
+        mixed = 2 * sum(x == x.upper() != x.lower() for x in raw) < len(raw) and text != text.lower()
+        out = Parsed()
+        for at, x in enumerate(raw):
+            w = fold(x)
+            known = self.common.get(w)
+            if any(c.isdigit() for c in w):
+                out.figures.append(w)
+            elif w in IDLE or known is None and self.slip(w):
+                continue
+            elif known is not None:
+                (out.names if known[0] else out.asking).append(w)
+            elif mixed and x == x.lower():
+                out.asking.append(w)
+            elif mixed and at and x != x.upper():
+                out.names.append(w)
+            else:
+                out.unknown.append(w)
+        return out
+
+    def keys(self, text: str) -> list[str]:
+        """Shard keys of a text, the figures being part of each.
+
+        Of each two telling names one in full with an end of the other, for a slip
+        in either; and an end of both with the other names, for slips in both.
+        Without two names, the names and the rarest asking words.
+        """
+        p = self.parse(text)
+        fig = ",".join(sorted(p.figures))
+        share = lambda w: self.common[w][1] if w in self.common else 0.0
+        ranked = sorted({*p.names, *p.unknown}, key=lambda w: (share(w), w))
+        telling = [w for w in ranked if share(w) <= TYPE_SHARE]
+        anchors = telling if len(telling) > 1 else ranked[:2]
+        if len(anchors) > 1:
+            out = {f"{x}~{e}~{fig}" for x, y in permutations(anchors, 2) for e in ends(y)}
+            for a, b in combinations(anchors, 2):
+                others = " ".join(w for w in ranked if w not in (a, b) and w in self.common)
+                out |= {"~".join((*sorted((x, y)), fig, others)) for x in ends(a, False) for y in ends(b, False)}
+            return sorted(out)
+        rare = sorted(set(p.asking), key=lambda w: (share(w), w))[:2]
+        return sorted({f"{w}~{fig}" for w in (*anchors, *rare)}) or [f"={fold(text)}"]
+
+
+def names_agree(a: Parsed, b: Parsed) -> list[tuple[str, str]] | None:
+    """The pairs of differing forms if the names agree one by one, else None.
+
+    An unknown word may be a name or an asking word. Left over on one side only,
+    it is an asking word; on both sides it may be a name, and the texts differ.
+    """
+    rest, left, slips = [*b.names, *b.unknown], [], []
+    for x in (*a.names, *a.unknown):
+        if x in rest:
+            rest.remove(x)
+        else:
+            left.append(x)
+    sure = set(a.names)
+    over = 0
+    for x in left:
+        m = next((y for y in rest if near(x, y)), None)
         if m is not None:
             rest.remove(m)
-            hit += 1
-    return 2 * hit / (len(a) + len(b))
+            slips.append((x, m))
+        elif x in sure:
+            return None
+        elif not any(near(x, y) for y in b.asking):
+            over += 1
+    if rest:
+        sure = set(b.names)
+        if any(y in sure for y in rest) or over and any(not any(near(x, y) for x in a.asking) for y in rest):
+            return None
+    return slips
+
+
+def _answers_agree(a: str | None, b: str | None) -> bool | None:
+    """Do the words of one answer hold those of the other? None where one is missing."""
+    if not a or not b:
+        return None
+    x, y = set(a.split()), set(b.split())
+    return x <= y or y <= x
 
 
-def same_names(a: list[str], b: list[str], rare: set[str]) -> bool:
-    """Names agree one by one; a slip is allowed if one of the two forms is rare."""
-    rest = list(b)
-    for x in sorted(a, key=lambda w: w not in b):
-        m = x if x in rest else next((y for y in rest if near(x, y) and (x in rare or y in rare)), None)
-        if m is None:
-            return False
-        rest.remove(m)
-    return not rest
+class Passage:
+    """One evaluation text: its bare stream, the places of its asking words, its parts."""
+
+    __slots__ = ("text", "answer", "words", "bare", "spots", "size")
 
+    def __init__(self, text: str, answer: str | None, words: Parsed) -> None:
+        self.text, self.answer, self.words = text, answer, words
+        self.bare = " " + " ".join(words.asking) + " "
+        self.spots, at = [], 1
+        for w in words.asking:
+            self.spots.append((w, at, at + len(w)))
+            at += len(w) + 1
+        self.size = sum(map(len, words.asking))
 
-def _covered(size: int, spans: list[tuple[int, int]]) -> int:
-    """Length of the union of intervals."""
-    total, last = 0, 0
-    for s, e in sorted(spans):
-        total += max(0, e - max(s, last))
-        last = max(last, e)
-    return total
 
+def scan_shard(ev: list[tuple[str, str | None]], train: list[tuple[str, str | None]], vocabulary: Vocabulary, coverage: float) -> list[tuple]:
+    """(eval text, train text, coverage, phrases, same answer, slips) of the pairs of a shard that agree in names and figures.
 
-def scan_shard(ev: list, train: list, coverage: float, agree: float) -> list[tuple[str, str, float]]:
-    """Matching (eval, train) texts of one shard with the covered share."""
+    ``phrases`` is null where the coverage suffices.
+    """
     import ahocorasick
 
-    grams: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
-    sizes = []
-    for n, r in enumerate(ev):
-        at = 0
-        for w in (*r.names, *r.asking, *r.figures):
-            grams[w].append((n, at, at + len(w)))
-            at += len(w)
-        sizes.append(max(1, at))
+    passages = [Passage(t, a, vocabulary.parse(t)) for t, a in ev]
+    grams: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for n, p in enumerate(passages):
+        for i in range(len(p.bare) - GRAM + 1):
+            grams[p.bare[i : i + GRAM]].append((n, i))
     auto = ahocorasick.Automaton()
     for g, where in grams.items():
-        auto.add_word(f" {g} ", where)
-    auto.make_automaton()
+        auto.add_word(g, where)
+    if grams:
+        auto.make_automaton()
+    by_figures: dict[tuple, list[int]] = defaultdict(list)
+    for n, p in enumerate(passages):
+        by_figures[tuple(sorted(p.words.figures))].append(n)
     rows = []
-    for t in train:
-        spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for _, where in auto.iter(" " + "  ".join((*t.names, *t.asking, *t.figures)) + " "):
-            for n, a, z in where:
-                spans[n].append((a, z))
-        for n, s in spans.items():
-            r = ev[n]
-            share = _covered(sizes[n], s) / sizes[n]
-            if share < coverage or sorted(r.figures) != sorted(t.figures):
+    for text, answer in train:
+        own = vocabulary.parse(text)
+        meet = by_figures.get(tuple(sorted(own.figures)))
+        if not meet:
+            continue
+        mine = [*own.asking, *own.unknown, *own.names]
+        spans: dict[int, list[int]] = defaultdict(list)
+        if grams:
+            for _, where in auto.iter(" " + " ".join(mine) + " "):
+                for n, i in where:
+                    spans[n].append(i)
+        for n in meet:
+            p = passages[n]
+            slips = names_agree(p.words, own)
+            if slips is None:
                 continue
-            if agreement(list(r.asking), list(t.asking)) >= agree and same_names(list(r.names), list(t.names), {*r.rare, *t.rare}):
-                rows.append((r.text, t.text, share))
+            covered = bytearray(len(p.bare))
+            for i in spans.get(n, ()):
+                covered[i : i + GRAM] = b"\1" * GRAM
+            got, rest = 0, []
+            for w, s, e in p.spots:
+                k = sum(covered[s:e])
+                if k < e - s and any(near(w, x) for x in mine):
+                    k = e - s
+                got += k
+                if k < 0.6 * (e - s):
+                    rest.append(w)
+            theirs = [*p.words.asking, *p.words.unknown, *p.words.names]
+            other = [w for w in own.asking if not any(near(w, x) for x in theirs)]
+            asked = sum(map(len, own.asking))
+            share = min(got / p.size if p.size else 1.0, 1 - sum(map(len, other)) / asked if asked else 1.0)
+            phrases = None if share >= coverage else " | ".join(sorted(" ".join(sorted(map(vocabulary.usual, x))) for x in (rest, other)))
+            rows.append((p.text, text, share, phrases, _answers_agree(p.answer, answer), slips))
     return rows
 
 
-def scan_bucket(pdf: pd.DataFrame, coverage: float, agree: float) -> pd.DataFrame:
-    """Every shard of one bucket in turn."""
-    shards: dict[str, tuple[list, list]] = defaultdict(lambda: ([], []))
-    for r in pdf.itertuples(index=False):
-        e, t = shards[r.shard]
-        if r.ev:
-            e.append(r)
-        if r.tr:
-            t.append(r)
-    rows = [m for e, t in shards.values() if e and t for m in scan_shard(e, t, coverage, agree)]
-    return pd.DataFrame(rows, columns=["eval_text", "train_text", "coverage"]).drop_duplicates(["eval_text", "train_text"])
-
+_HIT = "eval_text string, train_text string, coverage double, phrases string, same_answer boolean, slips array<struct<a:string,b:string>>"
 
-def parsed_questions(texts: DataFrame) -> DataFrame:
-    """``text, names, rare, asking, figures`` of distinct question texts.
 
-    A word is a name if the texts in mixed case write it with a capital where
-    others don't; those counts are taken over all texts, so that a word has one
-    kind in all of them. A text mostly in capitals tells nothing of names.
+def scan_bucket(pdf: pd.DataFrame, vocabulary: Vocabulary, coverage: float) -> pd.DataFrame:
+    """Every shard of one bucket in turn."""
+    shards: dict[tuple, tuple[list, list]] = defaultdict(lambda: ([], []))
+    for r in pdf.itertuples(index=False):
+        e, t = shards[r.shard, r.cell]
+        if r.as_ev:
+            e.append((r.text, r.answer))
+        if r.as_tr:
+            t.append((r.text, r.answer))
+    seen: dict[tuple[str, str], tuple] = {}
+    for e, t in shards.values():
+        if e and t:
+            for m in scan_shard(e, t, vocabulary, coverage):
+                seen.setdefault(m[:2], m)
+    return pd.DataFrame([(*m[:5], [{"a": a, "b": b} for a, b in m[5]]) for m in seen.values()], columns=["eval_text", "train_text", "coverage", "phrases", "same_answer", "slips"])
+
+
+def word_statistics(texts: DataFrame) -> DataFrame:
+    """``word, n, lower, capital``: in how many distinct texts, and how texts in mixed case write it after their first word.
+
+    A text mostly in capitals, or wholly in lower case, tells nothing of names.
     """
     raw = F.split("text", " ")
     shouted = F.filter(raw, lambda x: (x == F.upper(x)) & (x != F.lower(x)))
     mixed = (2 * F.size(shouted) < F.size(raw)) & (F.col("text") != F.lower("text"))
-    w = texts.select("text", mixed.alias("mixed"), F.posexplode(raw).alias("at", "raw")).select("text", "mixed", "at", "raw", F.lower("raw").alias("word"))
-    stats = w.groupBy("word").agg(
+    w = texts.select(mixed.alias("mixed"), F.posexplode(raw).alias("at", "raw"))
+    return w.groupBy(F.lower("raw").alias("word")).agg(
         F.count("*").alias("n"),
-        F.count_if(F.col("mixed") & (F.col("raw") == F.col("word"))).alias("lower"),
+        F.count_if(F.col("mixed") & (F.col("raw") == F.lower("raw"))).alias("lower"),
         F.count_if(F.col("mixed") & (F.col("at") > 0) & F.col("raw").rlike(r"^\p{Lu}")).alias("capital"),
     )
-    figure = F.col("word").rlike(r"\d")
-    name = (F.col("capital") > 0) & (2 * F.col("capital") >= F.col("lower")) & ~F.col("word").isin(*sorted(IDLE)) & ~figure
-    tagged = w.join(stats, "word").select(
-        "text",
-        F.struct(
-            "at", "word", "n",
-            F.when(figure, "f").when(name, "n").otherwise("a").alias("kind"),
-        ).alias("w"),
-    )
-    per = tagged.groupBy("text").agg(F.array_sort(F.collect_list("w")).alias("ws"))
-    of = lambda k: F.filter("ws", lambda x: x["kind"] == k)
-    pick = lambda k: F.transform(of(k), lambda x: x["word"])
-    return per.select(
-        "text", pick("n").alias("names"),
-        F.transform(F.filter("ws", lambda x: (x["kind"] == "n") & (x["n"] <= 2)), lambda x: x["word"]).alias("rare"),
-        F.transform(F.slice(F.array_sort(F.transform(of("n"), lambda x: F.struct(x["n"].alias("n"), x["word"].alias("word")))), 1, 2), lambda x: x["word"]).alias("rarest"),
-        pick("a").alias("asking"), pick("f").alias("figures"),
-    )
 
 
-def shard_keys(parsed: DataFrame) -> DataFrame:
-    """``parsed`` once for each of its shard keys: a full name, the figures, and one end of the other name."""
-    fig = F.array_join(F.array_sort("figures"), ",")
-    a, b = F.col("rarest")[0], F.coalesce(F.col("rarest")[1], F.col("rarest")[0])
-    keys = F.array(*[
-        F.concat_ws("~", x, fig, F.lit(side), F.substring(y, 1, 3) if side == "<" else F.right(y, F.lit(3)))
-        for x, y in ((a, b), (b, a)) for side in "<>"
-    ])
-    bare = F.array(F.concat_ws("~", fig, F.array_join(F.array_sort("asking"), " ")))
-    return parsed.withColumn("shard", F.explode(F.array_distinct(F.when(F.size("names") > 0, keys).otherwise(bare))))
+def common_vocabulary(stats: DataFrame, n_texts: int, share: float = COMMON_SHARE) -> dict[str, tuple[bool, float]]:
+    """The common words with their kind; by their share of the texts they are bounded, whatever the table's size."""
+    rows = stats.where(F.col("n") >= max(1.0, share * n_texts)).select("word", "n", "lower", "capital").collect()
+    return {r.word: (r.capital > 0 and 2 * r.capital >= r.lower and 4 * r.capital >= r.n, r.n / max(1, n_texts)) for r in rows}
+
+
+def matched_texts(
+    df: DataFrame, id_col: str, question: str, split: str, answer: str | None, train: tuple[str, ...], held_out: tuple[str, ...], coverage: float
+) -> tuple[DataFrame, DataFrame]:
+    """(records ``id, text, in_train, split``; text pairs ``eval_text, train_text, coverage``)."""
+    spark = df.sparkSession
+    scratch = Scratch(spark, "overlap")
+    answers = F.lower(F.trim(F.regexp_replace(F.col(answer).cast("string"), r"[^\p{L}\p{N}]+", " "))) if answer and answer in df.columns else F.lit(None).cast("string")
+    rec = df.where(F.col(id_col).isNotNull() & F.col(split).isin(*train, *held_out)).select(
+        F.col(id_col).cast("string").alias("id"), vectorised(words_of)(F.col(question)).alias("text"),
+        F.col(split).isin(*train).alias("in_train"), F.col(split).alias("split"), answers.alias("answer"),
+    )
+    rec = scratch.cut(rec.where("text is not null").distinct())
+    # the answer that most records of a text give
+    per = rec.groupBy("text", "answer").agg(F.count("*").alias("n"), F.bool_or("in_train").alias("tr"), F.bool_or(~F.col("in_train")).alias("ev"))
+    texts = per.groupBy("text").agg(
+        F.max_by("answer", F.when(F.col("answer").isNotNull(), F.struct(F.col("n"), F.col("answer")))).alias("answer"), F.bool_or("tr").alias("tr"), F.bool_or("ev").alias("ev")
+    )
+    texts = scratch.cut(texts)
+    stats = scratch.cut(word_statistics(texts))
+    n_texts = texts.count()
+    vocabulary = spark.sparkContext.broadcast(common_vocabulary(stats, n_texts))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vocabulary(vocabulary.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([v.keys(t) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], names=[*b.schema.names, "keys"])
+
+    # a shard is known by the hash of its key: a collision only makes two shards one
+    routed = (
+        texts.select("text", "tr", "ev")
+        .mapInArrow(keyed, "text string, tr boolean, ev boolean, keys array<string>")
+        .select(F.xxhash64("text").alias("tid"), "tr", "ev", F.explode(F.array_distinct(F.transform("keys", lambda k: F.xxhash64(k)))).alias("shard"))
+    )
+    routed = scratch.cut(routed)
+    sides = routed.groupBy("shard").agg(F.count_if("tr").alias("nt"), F.count_if("ev").alias("ne")).where("nt > 0 and ne > 0")
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK_TEXTS)).cast("int")
+    live = routed.join(sides.select("shard", blocks("nt").alias("bt"), blocks("ne").alias("be")), "shard")
+    # a cell is one block of evaluation texts with one block of training texts
+    mine = lambda n: F.pmod(F.hash("tid", "shard"), F.col(n))
+    as_ev = live.where("ev").select("shard", "tid", F.explode(F.sequence(F.lit(0), F.col("bt") - 1)).alias("t"), mine("be").alias("e"), F.lit(1).alias("as_ev"), F.lit(0).alias("as_tr"))
+    as_tr = live.where("tr").select("shard", "tid", mine("bt").alias("t"), F.explode(F.sequence(F.lit(0), F.col("be") - 1)).alias("e"), F.lit(0).alias("as_ev"), F.lit(1).alias("as_tr"))
+    cells = as_ev.unionByName(as_tr).groupBy("shard", "t", "e", "tid").agg(F.max("as_ev").cast("boolean").alias("as_ev"), F.max("as_tr").cast("boolean").alias("as_tr"))
+    buckets = max(1, n_texts // BUCKET_TEXTS + 1)
+    hits = (
+        cells.join(texts.select(F.xxhash64("text").alias("tid"), "text", "answer"), "tid")
+        .select("shard", F.concat_ws("/", "t", "e").alias("cell"), "text", "answer", "as_ev", "as_tr", F.pmod(F.xxhash64("shard", "t", "e"), F.lit(buckets)).alias("bucket"))
+        .groupBy("bucket")
+        .applyInPandas(lambda p: scan_bucket(p, Vocabulary(vocabulary.value), coverage), _HIT)
+    )
+    hits = scratch.cut(hits.groupBy("eval_text", "train_text").agg(F.max_by(F.struct("coverage", "phrases", "same_answer", "slips"), "coverage").alias("h")).select("eval_text", "train_text", "h.*"))
+    # a slip in a name counts only if one of the two forms is rare
+    forms = hits.select("eval_text", "train_text", F.posexplode("slips").alias("at", "s")).select("eval_text", "train_text", "at", F.explode(F.array("s.a", "s.b")).alias("word"))
+    often = (
+        forms.join(stats.select("word", "n"), "word", "left").groupBy("eval_text", "train_text", "at").agg(F.min(F.coalesce("n", F.lit(0))).alias("n"))
+        .where(F.col("n") > SLIP_TEXTS).select("eval_text", "train_text").distinct()
+    )
+    hits = hits.join(often, ["eval_text", "train_text"], "left_anti")
+    wording = (
+        hits.where("phrases is not null and same_answer is not null").groupBy("phrases")
+        .agg(F.count("*").alias("n"), F.count_if("same_answer").alias("same")).where(F.col("same") >= SAME_ANSWER * F.col("n")).select("phrases", F.lit(True).alias("reworded"))
+    )
+    hits = hits.join(wording, "phrases", "left").where("phrases is null or reworded").select("eval_text", "train_text", "coverage")
+    return rec.select("id", "text", "in_train", "split").distinct(), scratch.cut(hits)
 
 
 def cross_split_pairs(
@@ -236,10 +407,10 @@ def cross_split_pairs(
     id_col: str = "id",
     question: str = "question",
     split: str = "split",
+    answer: str | None = "ground_truth",
     train: tuple[str, ...] = ("train",),
     held_out: tuple[str, ...] = ("validation", "test"),
     coverage: float = COVERAGE,
-    agree: float = AGREEMENT,
 ) -> DataFrame:
     """``train_id, eval_id, eval_split, coverage``: the same question in train and in a held-out split.
 
@@ -247,31 +418,7 @@ def cross_split_pairs(
     in several versions counts with each. All pairs of ids are returned, as the
     result asks for them; inside, only distinct texts are compared.
     """
-    scratch = Scratch(df.sparkSession, "overlap")
-    rec = df.where(F.col(id_col).isNotNull() & F.col(split).isin(*train, *held_out)).select(
-        F.col(id_col).cast("string").alias("id"), vectorised(words_of)(F.col(question)).alias("text"),
-        F.col(split).isin(*train).alias("in_train"), F.col(split).alias("split"),
-    )
-    rec = scratch.cut(rec.where("text is not null").distinct())
-    texts = rec.groupBy("text").agg(F.bool_or("in_train").alias("tr"), F.bool_or(~F.col("in_train")).alias("ev"))
-
-    @F.pandas_udf("array<string>")
-    def ask(s: pd.Series) -> pd.Series:
-        return s.map(lambda ws: asking_words([fold(w) for w in ws]))
-
-    parsed = scratch.cut(parsed_questions(texts.select("text")).withColumn("asking", ask("asking")).join(texts, "text"))
-    sharded = shard_keys(parsed)
-    both = sharded.groupBy("shard").agg(F.bool_or("tr").alias("a"), F.bool_or("ev").alias("b")).where("a and b").select("shard")
-    live = sharded.join(both, "shard", "left_semi")
-    cols = ["shard", "text", "names", "asking", "figures", "rare", "tr", "ev"]
-    buckets = max(1, parsed.count() // BUCKET_TEXTS + 1)
-    hits = (
-        live.select(*cols, F.pmod(F.xxhash64("shard"), F.lit(buckets)).alias("bucket"))
-        .groupBy("bucket")
-        .applyInPandas(lambda p: scan_bucket(p, coverage, agree), "eval_text string, train_text string, coverage double")
-        .groupBy("eval_text", "train_text")
-        .agg(F.max("coverage").alias("coverage"))
-    )
+    rec, hits = matched_texts(df, id_col, question, split, answer, train, held_out, coverage)
     tr = rec.where("in_train").select(F.col("id").alias("train_id"), F.col("text").alias("train_text")).distinct()
     ev = rec.where("not in_train").select(F.col("id").alias("eval_id"), F.col("text").alias("eval_text"), F.col("split").alias("eval_split")).distinct()
     return (
@@ -280,6 +427,24 @@ def cross_split_pairs(
     )
 
 
+def overlapping_records(df: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """``eval_id, eval_split, n_train_texts, n_train_records, coverage``: one row per held-out record, no pairs of records.
+
+    Counts of training records are those of the matched texts; the record's own
+    id in train is no match.
+    """
+    rec, hits = matched_texts(df, "id", "question", "split", "ground_truth", ("train",), ("validation", "test"), coverage)
+    tr = rec.where("in_train").groupBy(F.col("text").alias("train_text")).agg(F.countDistinct("id").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    per = hits.join(tr, "train_text").groupBy("eval_text").agg(
+        F.count("*").alias("n_train_texts"), F.sum("n").alias("n_train_records"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("coverage").alias("coverage")
+    )
+    ev = rec.where("not in_train").select(F.col("id").alias("eval_id"), F.col("text").alias("eval_text"), F.col("split").alias("eval_split"))
+    return (
+        ev.join(per, "eval_text").where("lo <> eval_id or hi <> eval_id")
+        .groupBy("eval_id", "eval_split").agg(F.sum("n_train_texts").alias("n_train_texts"), F.sum("n_train_records").alias("n_train_records"), F.max("coverage").alias("coverage"))
+    )
+
+
 def ordered_pairs(pairs: DataFrame) -> DataFrame:
     """``id_a, id_b`` with the smaller id first."""
     return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).distinct()
@@ -287,13 +452,12 @@ def ordered_pairs(pairs: DataFrame) -> DataFrame:
 
 def overlap_report(df: DataFrame, source: str = "metadata.source") -> DataFrame:
     """``eval_split, source, n_records, n_overlapping, share`` of the held-out records."""
-    one = Window.partitionBy("eval_id")
     recs = (
         df.where(F.col("split").isin("validation", "test"))
         .groupBy(F.col("id").alias("eval_id"), F.col("split").alias("eval_split"))
         .agg(F.min(F.col(source)).alias("source"))
     )
-    hit = cross_split_pairs(df).withColumn("n", F.count("*").over(one)).groupBy("eval_id", "eval_split").agg(F.max("n").alias("n"))
+    hit = overlapping_records(df).select("eval_id", "eval_split", F.lit(1).alias("n"))
     return (
         recs.join(hit, ["eval_id", "eval_split"], "left")
         .groupBy("eval_split", "source")

@@ -132,7 +132,7 @@ Q = "In the Rovek Ledger, how many keepers looked after Tamor Mill in 1801?"
 @pytest.mark.parametrize(
     "other, same",
     [
-        (Q, True), ("in the rovek ledger, how many keepers looked after tamor mill in 1801? Thanks.", True), ("How many keepers took care of Tamor Mill in 1801, according to the Rovek Ledger?", True),
+        (Q, True), ("in the rovek ledger, how many keepers looked after tamor mill in 1801? Thanks.", True), ("How many keepers looked after Tamor Mill in 1801, per the Rovek Ledger?", True),
         ("In the Rovek Ledger, how many keepres looked aftr Tamor Mill in 1801?", True), (Q.replace("1801", "1802"), False), (Q.replace("Tamor", "Belun"), False), (Q.replace("Rovek", "Sumil"), False),
         ("In the Rovek Ledger, which town lies closest to Tamor Mill in 1801?", False), (None, False), ("?!", False),
     ],
@@ -149,6 +149,36 @@ def test_capitals_with_a_word_in_another_case(spark, other):
     assert [(r.id_a, r.id_b) for r in overlap.ordered_pairs(overlap.cross_split_pairs(df)).collect()] == [("a", "b")]
 
 
+def test_slips_in_both_names(spark):
+    q = "According to the Kitigisen Survey, which town lies closest to Jodinesk Codex?"
+    df = spark.createDataFrame([("a", q, "train"), ("b", q.replace("Kitigisen", "Kitgisen").replace("Jodinesk", "Jodineks"), "test"), ("c", q.replace("Kitigisen", "Molapesen"), "test")], "id string, question string, split string")
+    assert [(r.id_a, r.id_b) for r in overlap.ordered_pairs(overlap.cross_split_pairs(df)).collect()] == [("a", "b")]
+
+
+def test_rewordings_are_learned_from_answers_and_coverage_decides(spark):
+    rows = []
+    for i, name in enumerate(("Tamor", "Belun", "Sumil", "Korav", "Devis", "Wulak")):
+        ask = f"In the Rovek Ledger, how many keepers looked after {name} Mill?"
+        rows += [(f"a{i}", ask, "train", str(100 + i)), (f"b{i}", ask.replace("keepers looked after", "wardens cared for"), "test", str(100 + i) if i else None)]
+        rows += [(f"c{i}", ask.replace("keepers looked after", "visitors came to"), "test", str(700 + i))]
+    df = spark.createDataFrame(rows, "id string, question string, split string, ground_truth string")
+    pairs_of = lambda d, **k: {(r.id_a, r.id_b) for r in overlap.ordered_pairs(overlap.cross_split_pairs(d, **k)).collect()}
+    assert pairs_of(df) == {(f"a{i}", f"b{i}") for i in range(6)}
+    assert pairs_of(df, answer=None) == set()
+    assert len(pairs_of(df, coverage=0.0)) == 12
+
+
+def test_large_shards_are_cut_into_blocks(spark, monkeypatch):
+    rows = [(f"r{i:02d}", Q + " please" * (i % 5) + " thanks" * (i // 5), "train" if i % 3 else "test") for i in range(30)]
+    df = spark.createDataFrame(rows, "id string, question string, split string")
+    want = {(min(a[0], b[0]), max(a[0], b[0])) for a in rows for b in rows if a[2] == "test" and b[2] == "train"}
+    for size in (2_000, 3):
+        monkeypatch.setattr(overlap, "BLOCK_TEXTS", size)
+        assert {(r.id_a, r.id_b) for r in overlap.ordered_pairs(overlap.cross_split_pairs(df)).collect()} == want
+    n = {r.eval_id: r.n_train_records for r in overlap.overlapping_records(df.withColumn("ground_truth", F.lit(None).cast("string"))).collect()}
+    assert set(n.values()) == {20} and len(n) == 10
+
+
 def test_near_is_damerau():
     assert overlap.near("keepers", "keepres") and overlap.near("works", "wroks") and not overlap.near("tamor", "belun") and not overlap.near("ab", "ac")
 
