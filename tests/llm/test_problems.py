@@ -202,6 +202,23 @@ def test_consensus_beats_majority(spark):
     assert rel["human:a"] > 0.8 > 0.4 > rel["human:d"]
 
 
+def test_fit_ends_at_a_stationary_point_of_the_dual(spark):
+    rng = np.random.default_rng(7)
+    truth = rng.choice(4, 300)
+    pats = [sorted(4 * a + (int(t) if rng.random() < acc else int(rng.integers(4))) for a, acc in enumerate((0.9, 0.8, 0.5, 0.3)) if rng.random() < 0.8) for t in truth]
+    df = spark.createDataFrame([(p, 1) for p in pats if p], "pattern array<int>, n long")
+    got = consensus.fit(df, 4)
+    assert got.change < consensus.TOLERANCE and got.rounds > 3
+    assert all(b >= a - 1e-6 for a, b in zip(got.objective, got.objective[1:]))
+    value = lambda s: consensus.one_round(df, s, got.prior, consensus.BETA)[0] - 0.5 * consensus.ALPHA * (s**2).sum()
+    best = value(got.sigma)
+    for a, c, k in ((0, 0, 0), (1, 2, 1), (3, 3, 0)):
+        for d in (-0.2, 0.2):
+            s = got.sigma.copy()
+            s[a, c, k] += d
+            assert value(s) < best
+
+
 def test_votes_rules(spark):
     j = spark.createDataFrame(
         [("i", "x+y+z", [(1, 0.5, "", None), (2, 0.0, "Error: timeout", None), (3, 0.5, "", True)])] * 2,
