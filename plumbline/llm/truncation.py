@@ -1,10 +1,15 @@
 """Values cut off by field limits or mid-transfer (problem 1).
 
-Two kinds of evidence are added as log-odds. Lengths: per source and field a
-lognormal length distribution is fitted by maximum likelihood, right-censored at
-candidate limits (lengths, in characters or UTF-8 bytes, at which values pile up
-against what the fit allows); a value at a limit is censored with the posterior
-that the fit gives. Endings: how the text stops - closed sentence, closed
+Two kinds of evidence are added as log-odds. Lengths: every length of a source
+and field, in characters and in UTF-8 bytes, is a candidate limit. A lognormal
+length distribution, right-censored there, is fitted by maximum likelihood; how far
+the count at that length exceeds what the fit and the lengths around it allow, and
+how many of the values there stop in the middle of something, gives the posterior
+that a value of that length is censored. The posterior is shrunk towards the rate
+of cut values at the other lengths of the source and field, so that rare sources
+and small piles need no minimum count. Values that end in a full stop count among
+those at a length; where most values at a length are complete, the length counts
+for little. Endings: how the text stops - closed sentence, abbreviation, closed
 structure, inside something it opened, with a transfer scar, in mid-sentence.
 Short notes end without a full stop by habit; whether an opening is one of a note
 or of a sentence is read off the whole table.
@@ -26,11 +31,13 @@ from ..session import Scratch
 from .text import copies_question
 
 #: Weight of each ending, in log-odds of being cut.
-ENDING = {"closed": -9.0, "open": 9.0, "scar": 9.0, "tail": 6.0, "word": -4.0, "ellipsis": -0.5, "bare": 0.0}
-#: A pile of values at one length is a limit if it exceeds its neighbours by this many deviations and this count.
-SPIKE_SIGMA, SPIKE_MIN = 8.0, 20
-#: Of the values at a limit, at least this share have no closed ending.
-UNCLOSED_SHARE = 0.7
+ENDING = {"closed": -9.0, "open": 9.0, "scar": 9.0, "tail": 6.0, "word": -6.5, "ellipsis": -0.5, "bare": -2.5, "short form": -3.0}
+#: Endings that show a cut by themselves.
+CONCLUSIVE = ("open", "scar", "tail")
+#: Share of values that are cut at no limit, as a base of the odds.
+BASE = 0.02
+#: Values that the shrinkage of a length's posterior counts for.
+SHRINK = 4.0
 #: A formula that ends at least this share of the values ending in dots is a way of closing.
 FORMULA_SHARE = 0.02
 
@@ -38,6 +45,7 @@ _BLANK = "​‌‍﻿⁠"
 _SCAR = re.compile(r"(?:�|\\|<\w{0,6}|&#?\w{0,6}|\[(?:\.\.\.|…)\]|…|(?<=\w)[-‐–])$")
 _END = re.compile(r"(?:[.!?。！？][\"'”’»)\]*_]*|[\U0001F300-\U0001FAFF☀-➿]️?)$")
 _BOUNDARY = re.compile(r"(?<!\b[Cc]f)(?<!\bp)(?<!\bpp)(?<!\b[Nn]o)(?<!\bvol)(?<!\bca)(?<!\bSt)(?<!\bDr)(?<!\bMr)(?<!\bMrs)(?<!\bfig)(?<!\bsec)[.!?。！？][\"”’)]?\s+\S")
+_SHORT = re.compile(r"(?:^|[\s(])(?:[A-Z]|[Mm]rs?|[Dd]rs?|[Ss]t|[Nn]os?|[Vv]ol|pp?|ca|cf|[Ff]ig|[Ss]ec|e\.g|i\.e|approx|Prof|ed|eds|vs)\.$")
 _ASKED = re.compile(r"[?？][\"”’>\w\s().]*\n+\s*\w+:$")
 _NOTE_MARK = re.compile(r"[.!?。！？\"”’)]\s*(?:\[\d{1,3}\]|\([^()]*\))$")
 _LINK = re.compile(r"(?:https?://|www\.)[\w-]+(?:\.[\w-]+)+(?:/[\w./?=&%#-]*\w)?/?$")
@@ -77,6 +85,8 @@ def ending(text: str) -> tuple[str, str]:
         if len(t) <= 3:
             return "closed", ""
         return "ellipsis", " ".join(t.split()[-5:])
+    if _SHORT.search(t) and len(t) > 12:
+        return "short form", ""
     if _END.search(t) or _NOTE_MARK.search(t):
         return "closed", ""
     if t.endswith("```") or t[-1:] in "}>" or _ASKED.search(t):
@@ -105,15 +115,14 @@ def opening(t: str) -> str:
 
 
 def plainly_closed(c: Column) -> Column:
-    """Ends in a full stop with nothing left open: the great majority, decided in the JVM."""
-    t = F.trim(c)
+    """Ends in a full stop with nothing left open, and not in a short form: the great majority, whose ending is known in the JVM."""
+    last = F.right(F.trim(c), F.lit(9))
     balanced = F.lit(True)
     for a, b in _PAIRS:
         balanced = balanced & (F.length(c) - F.length(F.replace(c, F.lit(a), F.lit(""))) == F.length(c) - F.length(F.replace(c, F.lit(b), F.lit(""))))
     quotes = F.length(c) - F.length(F.replace(c, F.lit('"'), F.lit("")))
-    return (
-        t.rlike(r"[^.…\s][.!?。！？]$") & balanced & (quotes % 2 == 0) & ~c.contains("```") & ~c.contains("\n|")
-    )
+    short = last.rlike(r"(?:^|[\s(])(?:\p{L}{1,6}|e\.g|i\.e)\.$") & last.rlike(_SHORT.pattern)
+    return last.rlike(r"[^.…\s][.!?。！？]$") & ~short & balanced & (quotes % 2 == 0) & ~c.contains("```") & ~c.contains("\n|")
 
 
 def lognormal_censored(x: np.ndarray, n: np.ndarray, limit: float, n_at: float) -> tuple[float, float]:
@@ -140,31 +149,33 @@ def lognormal_censored(x: np.ndarray, n: np.ndarray, limit: float, n_at: float)
 
 
 def limits_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Candidate limits of one source, field and unit from its length histogram (length, n, unclosed)."""
-    h = pdf.groupby("length")[["n", "unclosed"]].sum().sort_index()
-    x, n, u = h.index.to_numpy(float), h["n"].to_numpy(float), h["unclosed"].to_numpy(float)
-    out = []
-    for i in np.flatnonzero(n >= SPIKE_MIN):
-        if x[i] < 24 or u[i] < UNCLOSED_SHARE * n[i]:
-            continue
-        near = (np.abs(x - x[i]) <= 24) & (np.abs(x - x[i]) > 4)
-        usual = np.median(np.r_[n[near], np.zeros(max(0, 40 - near.sum()))])
-        if n[i] < usual + SPIKE_SIGMA * math.sqrt(usual + 1):
-            continue
-        mu, sd = lognormal_censored(x[x < x[i]], n[x < x[i]], x[i], n[i] + n[x > x[i]].sum())
-        z = (math.log(x[i]) - mu) / sd
-        natural = n.sum() * math.exp(-z * z / 2) / (sd * math.sqrt(2 * math.pi) * x[i])
-        out.append((x[i], float(np.clip(1 - max(natural, usual) / n[i], 0.01, 0.99)), n[i]))
-    # shorter values beside a limit lost a space or part of a character to it
-    rows = {}
-    for at, p, k in out:
-        if p >= 0.5:
-            for back in range(0, 4):
-                rows[at - back] = max(rows.get(at - back, 0.0), p if back == 0 else 0.8 * p)
+    """Posterior of being censored at each length of one source, field and unit (length, n, cut); base rates are left out."""
+    h = pdf.groupby("length")[["n", "cut"]].sum().sort_index()
+    x, n, u = h.index.to_numpy(float), h["n"].to_numpy(float), h["cut"].to_numpy(float)
+    total, cut = n.sum(), u.sum()
+    before, after = np.cumsum(n) - n, total - np.cumsum(n)
+    wide = np.cumsum(np.bincount(x.astype(int), n, int(x[-1]) + 30))
+    window = lambda lo, hi: wide[np.clip(hi, 0, len(wide) - 1).astype(int)] - np.where(lo > 0, wide[np.clip(lo - 1, 0, len(wide) - 1).astype(int)], 0)
+    # the lengths around, without the nearest, which may belong to the same pile
+    around = window(x - 24, x + 24) - window(x - 4, x + 4)
+    usual = (around + 0.5) / 40
+    rate = (cut - u + 1) / (total - n + 1 / BASE)
+    share = (u + SHRINK * rate) / (n + SHRINK)
+    rows: dict[int, float] = {}
+    for i in np.flatnonzero((u > 0) & (n > usual)):
+        natural = usual[i]
+        if before[i] >= 3:
+            mu, sd = lognormal_censored(x[:i], n[:i], x[i], n[i] + after[i])
+            z = (math.log(max(x[i], 1.0)) - mu) / sd
+            natural = max(natural, total * math.exp(-z * z / 2) / (sd * math.sqrt(2 * math.pi) * max(x[i], 1.0)))
+        p = float(share[i] * max(0.0, 1 - natural / n[i]))
+        if p > BASE:
+            # shorter values beside a limit lost a space or part of a character to it
+            for back in range(0, 4 if p >= 0.5 else 1):
+                at = int(x[i]) - back
+                rows[at] = max(rows.get(at, 0.0), min(p, 0.99) if back == 0 else 0.8 * p)
     key = pdf.iloc[0]
-    return pd.DataFrame(
-        [(key.source, key.field, key.unit, int(a), p) for a, p in rows.items()], columns=["source", "field", "unit", "length", "posterior"]
-    )
+    return pd.DataFrame([(key.source, key.field, key.unit, a, p) for a, p in rows.items()], columns=["source", "field", "unit", "length", "posterior"])
 
 
 def _fields(df: DataFrame, key: str, fields: tuple[str, ...], source: str, *more: Column) -> DataFrame:
@@ -176,43 +187,31 @@ def _fields(df: DataFrame, key: str, fields: tuple[str, ...], source: str, *more
     ).select("key", "source", "v.field", "v.text", *(["asked"] if more else [])).where("text is not null and text <> ''")
 
 
-def length_limits(df: DataFrame, fields: tuple[str, ...], key: str = "attack_id", source: str = "source") -> DataFrame:
-    """``source, field, unit, length, posterior``: the posterior of being censored at each candidate length."""
-    v = _fields(df, key, fields, source)
+def length_limits(values: DataFrame, ends: DataFrame) -> DataFrame:
+    """``source, field, unit, length, posterior`` at every length with more than the base rate of censored values.
+
+    ``values`` has ``source, field, text`` and ``ends`` the evidence of those that
+    aren't plainly closed. A source, field and unit is one group of at most as many
+    rows as it has lengths.
+    """
+    both = lambda *cols: F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")]))
+    seen = values.groupBy("source", "field", F.length("text").alias("chars"), F.octet_length("text").alias("bytes")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("cut"))
+    cut = ends.where(F.col("evidence").isin(*CONCLUSIVE)).groupBy("source", "field", "chars", "bytes").agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("cut"))
     hist = (
-        v.groupBy("source", "field", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
-        .agg(F.count("*").alias("n"), F.count_if(~plainly_closed(F.col("text"))).alias("unclosed"))
-        .select("source", "field", "n", "unclosed", F.explode(F.array(
-            F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")),
-            F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("u"))
-        .groupBy("source", "field", "u.unit", "u.length")
-        .agg(F.sum("n").alias("n"), F.sum("unclosed").alias("unclosed"))
+        seen.unionByName(cut).select("source", "field", "n", "cut", both().alias("u"))
+        .groupBy("source", "field", "u.unit", "u.length").agg(F.sum("n").alias("n"), F.sum("cut").alias("cut"))
     )
-    return hist.groupBy("source", "field", "unit").applyInPandas(
-        limits_of, "source string, field string, unit string, length int, posterior double"
-    )
+    return hist.groupBy("source", "field", "unit").applyInPandas(limits_of, "source string, field string, unit string, length int, posterior double")
 
 
 def opening_key(c: Column) -> Column:
     """``opening`` as a column, for the values that end in a full stop."""
-    w = F.slice(F.filter(F.split(F.regexp_replace(F.substring_index(F.trim(c), "\n", 1), r"\d+", "9"), r"\s+"), lambda x: x != ""), 1, 3)
+    w = F.split(F.regexp_replace(F.regexp_extract(c, r"^\s*(\S+(?:\s+\S+){0,2})", 1), r"\d+", "9"), r"\s+")
     return F.array_join(F.transform(w, lambda x, i: F.when((i > 0) & x.rlike(r"^\p{Lu}"), F.lit("N")).otherwise(F.lower(x))), " ")
 
 
-def find_truncated(
-    df: DataFrame,
-    fields: tuple[str, ...] = ("answer", "judge_justification"),
-    key: str = "attack_id",
-    source: str = "source",
-    asked: tuple[str, ...] = (),
-) -> DataFrame:
-    """``key, field, source, evidence, log_odds`` of every value that was cut.
-
-    A value that merely gives back one of the columns ``asked`` is not cut.
-
-    Nulls and blank values are never cut; a null source is a source of its own;
-    repeated rows give one row; only ``fields`` are read as text.
-    """
+def value_endings(df: DataFrame, fields: tuple[str, ...], key: str, source: str, asked: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(values ``key, source, field, text``; ``key, source, field, evidence, mark, chars, bytes`` of those not closed)."""
     kind = df.schema[key].dataType.simpleString()
     asked_col = F.array(*[F.col(c) for c in asked]) if asked else F.array().cast("array<string>")
     v = _fields(df, key, fields, source, asked_col.alias("asked"))
@@ -236,11 +235,34 @@ def find_truncated(
                 names=["key", "source", "field", "evidence", "mark", "chars", "bytes"],
             )
 
-    # written once: four readers, and few rows are left of the texts
-    ends = Scratch(df.sparkSession, "endings").cut(
+    # written once for its readers; few rows are left of the texts
+    return v, Scratch(df.sparkSession, "endings").cut(
         unclear.mapInArrow(run, f"key {kind}, source string, field string, evidence string, mark string, chars int, bytes int")
     )
-    limits = F.broadcast(length_limits(df, fields, key, source))
+
+def censoring_limits(df: DataFrame, fields: tuple[str, ...] = ("answer", "judge_justification"), key: str = "attack_id", source: str = "source") -> DataFrame:
+    """``source, field, unit, length, posterior`` of the lengths at which values are censored with a posterior of a half or more."""
+    v, ends = value_endings(df, fields, key, source)
+    out = length_limits(v.select("source", "field", "text"), ends).where("posterior >= 0.5")
+    return out.withColumn("source", F.when(F.col("source") != "\0", F.col("source")))
+
+
+def find_truncated(
+    df: DataFrame,
+    fields: tuple[str, ...] = ("answer", "judge_justification"),
+    key: str = "attack_id",
+    source: str = "source",
+    asked: tuple[str, ...] = (),
+) -> DataFrame:
+    """``key, field, source, evidence, log_odds, length_odds`` of every value that was cut.
+
+    ``length_odds`` is the part of the log-odds that its length gives. A value that merely gives back one of the columns ``asked`` is not cut.
+
+    Nulls and blank values are never cut; a null source is a source of its own;
+    repeated rows give one row; only ``fields`` are read as text.
+    """
+    v, ends = value_endings(df, fields, key, source, asked)
+    limits = length_limits(v.select("source", "field", "text"), ends)
     at = ends
     for unit in ("chars", "bytes"):
         at = at.join(
@@ -248,9 +270,9 @@ def find_truncated(
             ["source", "field", unit],
             "left",
         )
-    at = at.withColumn("posterior", F.greatest(F.coalesce("p_chars", F.lit(0.02)), F.coalesce("p_bytes", F.lit(0.02))))
+    at = at.withColumn("posterior", F.greatest(F.coalesce("p_chars", F.lit(BASE)), F.coalesce("p_bytes", F.lit(BASE))))
     # openings of sentences that did end, and of values that stop without an end
-    closed = v.where(F.trim("text").rlike(r"[.!?。！？][\"”’)]*$")).groupBy("field", opening_key(F.col("text")).alias("mark")).agg(F.count("*").alias("n_closed"))
+    closed = v.where(F.right(F.trim("text"), F.lit(4)).rlike(r"[.!?。！？][\"”’)]*$")).groupBy("field", opening_key(F.col("text")).alias("mark")).agg(F.count("*").alias("n_closed"))
     bare = ends.where("evidence = 'bare'").groupBy("field", "mark").agg(F.count("*").alias("n_bare"))
     habits = bare.join(closed, ["field", "mark"], "left").select(
         F.lit("bare").alias("evidence"), "field", "mark",
@@ -263,24 +285,28 @@ def find_truncated(
         F.when((F.col("n") >= FORMULA_SHARE * F.col("total")) & (F.col("n") >= 3), F.lit(-12.0)).otherwise(F.lit(4.0)).alias("habit"),
     )
     weight = F.create_map(*[x for k, w in ENDING.items() for x in (F.lit(k), F.lit(w))])
-    odds = F.log(F.col("posterior") / (1 - F.col("posterior"))) - F.lit(math.log(0.02 / 0.98))
-    scored = at.join(habits.unionByName(formulas), ["evidence", "field", "mark"], "left").withColumn(
-        "log_odds", weight[F.col("evidence")] + F.coalesce("habit", F.lit(0.0)) + odds - F.when(F.col("evidence").isin("bare", "word"), F.lit(2.5)).otherwise(F.lit(0.0))
+    odds = F.log(F.col("posterior") / (1 - F.col("posterior"))) - F.lit(math.log(BASE / (1 - BASE)))
+    scored = at.join(habits.unionByName(formulas), ["evidence", "field", "mark"], "left").withColumn("length_odds", odds).withColumn(
+        "log_odds", weight[F.col("evidence")] + F.coalesce("habit", F.lit(0.0)) + F.col("length_odds")
     )
+    best = F.max_by(F.struct("source", "evidence", "log_odds", "length_odds"), F.struct("log_odds", "source", "evidence")).alias("r")
     return (
-        scored.where("log_odds > 0")
-        .groupBy("key", "field")
-        .agg(F.min("source").alias("source"), F.min("evidence").alias("evidence"), F.max("log_odds").alias("log_odds"))
-        .select(F.col("key").alias(key), "field", F.when(F.col("source") != "\0", F.col("source")).alias("source"), "evidence", "log_odds")
-    )
+        scored.where("log_odds > 0").groupBy("key", "field").agg(best)
+        .select(F.col("key").alias(key), "field", F.when(F.col("r.source") != "\0", F.col("r.source")).alias("source"), "r.evidence", "r.log_odds", "r.length_odds")
+    )
 
 
 def truncation_rates(df: DataFrame, fields: tuple[str, ...] = ("answer", "judge_justification"), key: str = "attack_id") -> DataFrame:
-    """``source, field, n_values, n_truncated, share`` over distinct records with a text."""
+    """``source, field, n_values, n_truncated, n_by_length, share`` over distinct records with a text.
+
+    ``n_by_length`` counts the cut values that their ending alone would not show.
+    """
     n = _fields(df, key, fields, "source").groupBy("source", "field").agg(F.countDistinct("key").alias("n_values"))
-    cut = find_truncated(df, fields, key).groupBy(F.coalesce("source", F.lit("\0")).alias("source"), "field").agg(F.count("*").alias("n_truncated"))
-    out = n.join(cut, ["source", "field"], "left").withColumn("n_truncated", F.coalesce("n_truncated", F.lit(0)))
+    cut = find_truncated(df, fields, key).groupBy(F.coalesce("source", F.lit("\0")).alias("source"), "field").agg(
+        F.count("*").alias("n_truncated"), F.count_if(F.col("log_odds") <= F.col("length_odds")).alias("n_by_length")
+    )
+    out = n.join(cut, ["source", "field"], "left").fillna(0, ["n_truncated", "n_by_length"])
     return out.select(
-        F.when(F.col("source") != "\0", F.col("source")).alias("source"), "field", "n_values", "n_truncated",
+        F.when(F.col("source") != "\0", F.col("source")).alias("source"), "field", "n_values", "n_truncated", "n_by_length",
         (F.col("n_truncated") / F.col("n_values")).alias("share"),
     )

@@ -22,7 +22,7 @@ MODEL = f"{encoding.TOKENIZER_DIR}/byte_bpe_50k.json"
         ("It ends here.", "closed"), ("A link. See https://a.example/report", "word"), ("Cut in the mid", "bare"), ("One is done. Two is", "tail"), ("```\nx = 1", "open"),
         ("```\nx = 1\n```", "closed"), ("He said “so it", "open"), ("Text (See rubric, section 1", "open"), ("Done. (See rubric, section 1)", "closed"), ("So the wor�", "scar"),
         ("the gate was be <b", "scar"), ("| a | b |\n|---|---|\n| c | d |", "closed"), ("| a | b |\n|---|---|\n| c", "open"), ("All done. 🙂", "closed"), ("It holds. [3]", "closed"),
-        ("Fine.\n\nKind regards,\nNel", "word"), ("   ", "closed"), ("Why?\nAnswer:", "closed"), ('{"label": 1, "j": "The', "open"), ("x" * 100_000 + ".", "closed"),
+        ("Fine.\n\nKind regards,\nNel", "word"), ("   ", "closed"), ("Why?\nAnswer:", "closed"), ('{"label": 1, "j": "The', "open"), ("x" * 100_000 + ".", "closed"), ("It was kept by Mr.", "short form"), ("Kept by the guild, see vol.", "short form"),
     ],
 )
 def test_endings(value, kind):
@@ -39,6 +39,30 @@ def test_truncation_edge_cases(spark):
     assert {(r.source, r.field): r.n_truncated for r in rates}[None, "answer"] == 1
 
 
+def test_limits_need_no_minimum_and_are_moved_by_complete_values():
+    import pandas as pd
+
+    def limits(at, n, cut):
+        rng = np.random.default_rng(2)
+        x, c = np.unique(np.clip(rng.normal(60, 15, 400), 20, 99).astype(int), return_counts=True)
+        h = pd.DataFrame({"source": "s", "field": "f", "unit": "chars", "length": [*x, at], "n": [*c, n], "cut": [*[0] * len(x), cut]})
+        return dict(truncation.limits_of(h)[["length", "posterior"]].values.tolist())
+
+    assert limits(128, 300, 297)[128] > 0.95 and limits(128, 6, 6)[128] > 0.5
+    assert limits(128, 300, 0) == {} and limits(128, 300, 4).get(128, 0) < 0.05 and limits(12, 5, 5)[12] > 0.4
+
+
+def test_a_value_that_only_its_length_shows_to_be_cut(spark):
+    rows = [(i, "It was seen by the keepers of the mill in 17%02d. Then the lamp we" % i, "s") for i in range(40)]
+    rows += [(100 + i, "A note on the mill. " * (1 + i % 7) + "The end.", "s") for i in range(200)]
+    # as long as the others; an initial with its full stop ends a sentence or is cut inside a name
+    short = "It was seen by the keepers of the old mill, and then by a Mr. A."
+    rows += [(900, short, "s"), (901, short[:30] + " Mr. A.", "s")]
+    assert len(short) == len(rows[0][1])
+    got = {r.attack_id: r for r in truncation.find_truncated(spark.createDataFrame(rows, "attack_id long, answer string, source string"), ("answer",)).collect()}
+    assert {*range(40)} | {900} == set(got) and got[900].log_odds <= got[900].length_odds
+
+
 def test_censored_fit_recovers_the_distribution():
     rng = np.random.default_rng(1)
     x = np.exp(rng.normal(5, 0.6, 20000))
