@@ -291,6 +291,30 @@ def test_leaks(spark, doc, hit):
         assert 0 <= r.start < r.end <= len(doc)
 
 
+PLAIN = "when the lamp of the old tower was lit again the fishermen of the lower village had long since sold their nets and left the quay"
+JA = "古い塔の灯台に再び火がともされたとき、下の村の漁師たちはすでに網を売り払い、波止場を去っていた。"
+
+
+@pytest.mark.parametrize(
+    "items, doc, want",
+    [
+        ([("e1", None, PLAIN, None)], f"Intro of a page. {PLAIN}. The end.", {"e1"}), ([("e1", None, PLAIN, None)], "The lamp of the old tower was new and the quay was empty.", set()),
+        ([("e1", "Who wrote Dune?", None, "Frank")], "A quiz. Who wrote Dune? Nobody knew.", {"e1"}), ([("e1", "Who wrote Dune?", None, "Frank")], "Who wrote Emma? Not the author of Dune.", set()),
+        ([("e1", None, JA, None)], f"前書き。{JA}終わり。", {"e1"}), ([("e1", None, JA, None)], "古い塔の灯台は新しくなった。", set()),
+        # scattered: all words in order, with filler after every sixth
+        ([("e1", None, PASSAGE, None)], " ".join(w + (" and some other filler words that go on for a very long while" * 12 if n % 6 == 5 else "") for n, w in enumerate(PASSAGE.split())), {"e1"}),
+        ([(f"e{i}", f"What did the {w} say of it?", PASSAGE, None) for i, w in enumerate("abbot baker clerk diver envoy friar".split())], f"x {PASSAGE} y", {f"e{i}" for i in range(6)}),
+        # damaged beyond its share, but its answer follows
+        ([("e1", ASK, None, "Wizo Fogox")], "Who among 26 divers at Port Mupig noticed the notebook of Zujok? Wizo Fogox.", {"e1"}),
+    ],
+)
+def test_leaks_of_unusual_items(spark, items, doc, want):
+    it = spark.createDataFrame(items, "item_id string, question string, passage string, ground_truth string")
+    docs = spark.createDataFrame([(1, doc)], "doc_id long, text string")
+    for per in (20_000, 2):
+        assert {r.item_id for r in leakage.find_leaks(docs, it, per_automaton=per).collect()} == want
+
+
 def test_leaks_without_items(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert leakage.find_leaks(docs, spark.createDataFrame([], "item_id string, question string, passage string")).count() == 0
