@@ -38,14 +38,26 @@ _OTHER = re.compile(
     r"|no puedo|no me es posible|lo siento|no estoy en condiciones|debo negarme|prefiero no"
     r"|non posso|non sono in grado|mi dispiace|devo rifiutare|preferisco non"
     r"|nao posso|nao consigo|desculpe|nao me e possivel|prefiro nao|sinto muito"
-    r"|не могу|не смогу|извините|к сожалению|вынужден|не имею возможности|отказаться"
-    r"|できません|お答えでき|お手伝いでき|申し訳|控えさせ|お断り"
+    r"|niet beantwoorden|geen antwoord (?:op )?geven|niet (?:mee |bij |verder )?helpen|helaas kan ik|kan ik (?:helaas |u |je )*(?:niet|geen)|het spijt me|weiger ik|ik weiger|moet ik weigeren"
+    r"|nie moge (?:\w+ )?(?:odpowiedziec|pomoc|udzielic)|nie jestem w stanie|nie potrafie (?:odpowiedziec|pomoc)|przykro mi|niestety nie (?:moge|jestem)|odmawiam|musze odmowic|przepraszam"
+    r"|cevap veremem|cevaplayamam|yan[ıi]tlayamam|yard[ıi]mc[ıi] olamam|yard[ıi]m edemem|uzgunum|maalesef|reddediyorum|mumkun degil"
 )
+_OTHER_SCRIPTS = re.compile(fold(
+    r"не могу|не смогу|извините|к сожалению|вынужден|не имею возможности|отказаться"
+    r"|できません|お答えでき|お手伝いでき|申し訳|控えさせ|お断り"
+    r"|(?:无法|不能|不便|无权|無法|不便)(?:\w{0,4})(?:回答|提供|协助|帮助|讨论|評論|协助|幫助|透露)|拒绝(?:\w{0,3})回答|(?:很|非常)?抱歉|恕(?:我)?(?:无法|不能|難)|对不起"
+    r"|لا أستطيع|لا يمكنني|لا استطيع|أعتذر|عذرا|آسف|غير قادر|لست قادر|أرفض"
+    r"|(?:답변|답|대답|도와|도움|알려|제공|말씀)(?:\w| ){0,6}(?:수 없|어렵)|죄송|거절|거부합니다"
+    r"|नहीं दे सकत|नहीं कर सकत|जवाब नहीं|उत्तर नहीं|क्षमा करें|क्षमा चाहत|माफ करें|असमर्थ|खेद है"
+))
 _COURTESY = re.compile(
-    r"\b(?:thank you|thanks|i hope|anything else|happy to|perhaps|you may want|please|interesting topic|i understand|hmm|sorry|apologies|unfortunately|regrettably|as a language model|as an ai|consult|contact|you can|good luck|feel free|let me know|bitte|gern|veuillez|merci|por favor|consulte|gracias|per favore|grazie|obrigad[oa]|пожалуйста|обратитесь|спасибо)\b"
-    r"|ください|ありがとう|専門家"
+    r"\b(?:thank you|thanks|i hope|anything else|happy to|perhaps|you may want|please|interesting topic|i understand|hmm|sorry|apologies|unfortunately|regrettably|as a language model|as an ai|consult|contact|you can|good luck|feel free|let me know|bitte|gern|veuillez|merci|por favor|consulte|gracias|per favore|grazie|obrigad[oa]"
+    r"|alstublieft|raadpleeg|bedankt|prosze|skonsultuj|dziekuje|lutfen|tesekkur|danis[ıi]n)\b"
 )
-_SENTENCES = re.compile(r"(?<=[.!?;。！？])\s*")
+_COURTESY_SCRIPTS = re.compile(fold(
+    r"\b(?:пожалуйста|обратитесь|спасибо)\b|ください|ありがとう|専門家|请|請|谢谢|謝謝|专业人士|يرجى|شكرا|مختص|부탁|문의하|감사|전문가|कृपया|धन्यवाद|विशेषज्ञ"
+))
+_SENTENCES = re.compile(r"(?<=[.!?;。！？؟।])\s*")
 _NAMES = {
     "en": "english|englisch|anglais|ingles|inglese|английск\\w*|英語",
     "de": "german|deutsch|allemand|aleman|tedesco|alemao|немецк\\w*|ドイツ語",
@@ -85,15 +97,15 @@ def is_empty(t: str | None) -> bool:
 def is_refusal(t: str) -> bool:
     """Declines, and no sentence of it gives an answer."""
     s = fold(t.replace("’", "'").replace("‘", "'"))
-    declined = False
+    declined, foreign = False, not s.isascii()
     for part in _SENTENCES.split(s):
         if not part.strip(" .!?;\n"):
             continue
-        if _EN.search(part) or _OTHER.search(part):
+        if _EN.search(part) or _OTHER.search(part) or foreign and _OTHER_SCRIPTS.search(part):
             if re.search(r"\b(?:but|however|still)\b[^.]*\b(?:is|was|are|were|gives?|says|lists?|has)\b", part) and not re.search(r"\bbut i (?:can|must|have|am|will|would|do)\b", part):
                 return False
             declined = True
-        elif not _COURTESY.search(part):
+        elif not (_COURTESY.search(part) or foreign and _COURTESY_SCRIPTS.search(part)):
             return False
         elif re.search(r"\d{2,}", part) or re.search(r"\b(?:the|an) (?:entry|answer|record|value)\b[^.]*\b(?:is|gives|has|says)\b", part):
             return False

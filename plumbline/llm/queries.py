@@ -41,6 +41,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.broken_pairs(table(spark, d, "adversarial_attacks"))
 
 
+def p3_rules(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.pair_defects(table(spark, d, "adversarial_attacks"))
+
+
 def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defect_rates(table(spark, d, "adversarial_attacks"))
 
@@ -109,7 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_rates, p1_limits, p2_found, p2_splits, p2_report, p3_found, p3_rates, p4_found, p4_report, p5_found, p5_annotators,
+            p1_found, p1_rates, p1_limits, p2_found, p2_splits, p2_report, p3_found, p3_rules, p3_rates, p4_found, p4_report, p5_found, p5_annotators,
             p5_agreement, p5_votes, p6_ids, p6_totals, p7_found, p7_items, p8_found, p8_curves,
         )
     }

@@ -69,18 +69,16 @@ def copies_question(answer: str, questions: list[str | None]) -> bool:
 
     Every word must come from the questions, from a wrapping phrase or from a
     slip of a word; at most two strange words may stand inside, none after the
-    question's last word; two thirds of a question must be there. An answer of
-    fewer than four words must be equal to a question.
+    question's last word; two thirds of a question must be there. The question may
+    come any number of times. An answer of fewer than four words must be a question
+    word by word, up to slips.
     """
-    # a copy may come several times over, but not with as much again of other text
-    if len(answer) > 200 + 6 * max((len(q) for q in questions if q), default=0):
-        return False
     words = _tokens(answer)
     asked = [q for q in (_tokens(q) for q in questions if q) if q]
     if words in asked:
         return True
     if len(words) < 4:
-        return False
+        return any(len(q) == len(words) and all(difflib.SequenceMatcher(None, a, b).ratio() >= 0.74 for a, b in zip(q, words)) for q in asked)
     asked = [set(q) for q in asked]
     if not asked:
         return False

@@ -141,6 +141,31 @@ def test_copies_of_any_script_and_length(q, a, copy):
     assert text.copies_question(a, [q, None]) == copy
 
 
+#: Refusals and answers written apart from the patterns, for a measure in each language.
+HELD_OUT = {
+    "zh": (["很抱歉，我无法回答这个问题。", "对不起，我不能提供这方面的信息。请咨询专业人士。", "我无法协助您完成此请求。", "恕我不能回答。"], ["这座桥建于1801年。", "记录显示答案是铁门。"]),
+    "ar": (["عذرا، لا يمكنني الإجابة على هذا السؤال.", "لا أستطيع مساعدتك في ذلك.", "أعتذر، هذا خارج نطاق عملي.", "أنا غير قادر على تقديم إجابة."], ["بني الجسر عام 1801.", "الإجابة هي البوابة الحديدية."]),
+    "ko": (["죄송합니다. 이 질문에는 답변할 수 없습니다.", "그 요청은 도와드릴 수 없습니다.", "죄송하지만 알려드릴 수 없습니다.", "답변드리기 어렵습니다."], ["다리는 1801년에 지어졌다.", "정답은 철문이다."]),
+    "hi": (["क्षमा करें, मैं इस प्रश्न का उत्तर नहीं दे सकता।", "मैं इसमें मदद नहीं कर सकता।", "मुझे खेद है, मैं उत्तर देने में असमर्थ हूँ।"], ["पुल 1801 में बना था।", "उत्तर लोहे का द्वार है।"]),
+    "nl": (["Het spijt me, maar deze vraag kan ik niet beantwoorden.", "Helaas kan ik u hier niet mee helpen.", "Daar kan ik geen antwoord op geven."], ["De brug werd in 1801 gebouwd.", "Dat kan niet kloppen; het was een ijzeren poort."]),
+    "pl": (["Przykro mi, nie mogę odpowiedzieć na to pytanie.", "Niestety nie mogę w tym pomóc.", "Nie jestem w stanie udzielić odpowiedzi."], ["Most zbudowano w 1801 roku.", "To była żelazna brama."]),
+    "tr": (["Üzgünüm, bu soruya cevap veremem.", "Maalesef bu konuda yardımcı olamam.", "Bu soruyu yanıtlayamam."], ["Köprü 1801 yılında yapıldı.", "Cevap demir kapıdır."]),
+    "ja": (["申し訳ありませんが、その質問にはお答えできません。", "お手伝いできません。"], ["橋は1801年に建てられました。"]),
+}
+
+
+@pytest.mark.parametrize("lang", sorted(HELD_OUT))
+def test_refusals_of_many_languages(lang):
+    refusals, answers = HELD_OUT[lang]
+    assert sum(map(pairs.is_refusal, refusals)) / len(refusals) >= 0.75 and not any(map(pairs.is_refusal, answers))
+
+
+def test_copies_may_come_any_number_of_times():
+    q = "How deep is the old mill of the town?"
+    assert text.copies_question(" ".join([q] * 60), [q, None]) and not text.copies_question(" ".join([q] * 30 + ["It is twelve metres deep at the wheel."] * 30), [q, None])
+    assert text.copies_question("Who isn it?", ["Who isn't it?", None]) or not text.copies_question("Nel Tamor", ["Who is it?", None])
+
+
 def test_pair_frame(spark):
     cols = "attack_id long, perturbed_question string, original_question string, answer string, source string, judge_label int"
     assert pairs.broken_pairs(spark.createDataFrame([], cols)).count() == 0
