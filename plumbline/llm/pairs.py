@@ -72,7 +72,13 @@ _NAMES = {
     "ko": "korean|koreanisch|coreen|coreano|корейск\\w*|韓国語",
 }
 _ASKS = {k: re.compile(rf"\b(?:in|auf|en|em|на|по|answer|reply|respond|antworte\w*)?\s*(?:{v})\b|(?:{v})で", re.I) for k, v in _NAMES.items()}
-_FOLDED = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+#: Question words, which tell the language of a short question.
+_QUESTION_WORDS = {
+    "en": "who what which where when how why whose many much", "fr": "où combien quel quelle quels quelles quand comment pourquoi quoi vient d l",
+    "de": "wer was wo woher wohin wann wieso warum welche welcher welches wessen viele wieviel wem wen", "es": "cuántos cuántas cuánto cuál cuáles qué quién quiénes dónde cuándo cómo en",
+    "it": "quanti quante quanto quale quali chi dove quando come perché cosa", "pt": "quantos quantas quanto qual quais quem onde quando como porquê", "ru": "кто что где когда как почему сколько какой какая какое какие откуда чей",
+}
+_FOLDED = {k: frozenset(f"{v} {_QUESTION_WORDS[k]}".split()) for k, v in FUNCTION_WORDS.items()}
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SCRIPTS = (
     ("ja", re.compile(r"[぀-ヿ]")), ("ko", re.compile(r"[가-힯]")), ("zh", re.compile(r"[一-鿿]")),
