@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
@@ -230,7 +230,22 @@ def split_records(df: DataFrame, label: str = "category") -> DataFrame:
 
 
 def split_report(df: DataFrame, label: str = "category") -> DataFrame:
-    """``assigned, records, groups, share`` of each split."""
-    r = split_records(df, label).groupBy("assigned").agg(F.count("*").alias("records"), F.countDistinct("root").alias("groups"))
-    total = r.agg(F.sum("records").alias("total"))
-    return r.crossJoin(F.broadcast(total)).select("assigned", "records", "groups", (F.col("records") / F.col("total")).alias("share"))
+    """``assigned, records, groups, share, label_gap`` of each split.
+
+    ``label_gap`` is the largest difference, over the labels, between the split's
+    share of a label's records and its share of all records: 0 is a perfect
+    stratification. Groups that hold much of a label set a floor to it.
+    """
+    spark = df.sparkSession
+    placed = Scratch(spark, "report").cut(split_records(df, label))
+    once = df.groupBy(F.col("id").cast("string").alias("id")).agg(F.coalesce(F.min(F.col(label).cast("string")), F.lit("\0")).alias("label"))
+    cells = placed.join(once, "id").groupBy("assigned", "label").agg(F.count("*").alias("n"))
+    by_label = Window.partitionBy("label")
+    by_split = Window.partitionBy("assigned")
+    gaps = (
+        cells.withColumn("of_label", F.col("n") / F.sum("n").over(by_label)).withColumn("records", F.sum("n").over(by_split))
+        .join(F.broadcast(cells.agg(F.sum("n").alias("total"))), F.lit(True))
+        .groupBy("assigned").agg(F.max("records").alias("records"), F.max("total").alias("total"), F.max(F.abs(F.col("of_label") - F.col("records") / F.col("total"))).alias("label_gap"))
+    )
+    groups = placed.groupBy("assigned").agg(F.countDistinct("root").alias("groups"))
+    return gaps.join(groups, "assigned").select("assigned", "records", "groups", (F.col("records") / F.col("total")).alias("share"), "label_gap")

@@ -112,6 +112,20 @@ def test_splits_of_singletons_keep_proportions(spark):
     assert splits.split_report(df.limit(0)).count() == 0
 
 
+def test_lanes_keep_labels_balanced(spark):
+    rng = random.Random(9)
+    rows = [(f"{i:05d}", f"Place {i // rng.randrange(1, 4)}", (None,), rng.choices("abcd", (60, 25, 12, 3))[0]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id string, entity string, metadata struct<template:string>, category string")
+    groups = splits.related_groups(df)
+    for lane in (10_000, 300):
+        placed = splits.assign_splits(df.select("id", "category"), groups, "category", lane_records=lane)
+        got = groups.join(placed, "root").join(df.select("id", "category").distinct(), "id").groupBy("split", "category").count().collect()
+        total = {c: sum(r["count"] for r in got if r.category == c) for c in "abcd"}
+        for want, split in ((0.8, "train"), (0.1, "validation"), (0.1, "test")):
+            assert all(abs(sum(r["count"] for r in got if r.category == c and r.split == split) / total[c] - want) < 0.06 for c in "abcd")
+    assert all(r.label_gap < 0.05 for r in splits.split_report(df).collect())
+
+
 # 3 -- pairs
 
 
