@@ -59,13 +59,15 @@ IDLE = frozenset(
 )
 
 _WORD = re.compile(r"[^\W_]+")
+#: Numbering of a question in its list: layout, no figure of the question.
+_LABEL = re.compile(r"^[\W_]*\d{1,4}\s*[.):\]]\s+(?=\D)|(?<!\w)(?:question|prompt|item|task|exercise|q|no|nr|frage|pregunta|domanda)\W{0,3}\d{1,4}\s*[.:)\]]+(?=\s|$)", re.I)
 
 
 def words_of(s: str | None) -> str | None:
-    """Words in original case, accents and marks removed, joined by spaces."""
+    """Words in original case, without accents, marks and the question's number in a list, joined by spaces."""
     if s is None:
         return None
-    t = re.sub(r"(?<=\w)['’](?=\w)", "", s)
+    t = re.sub(r"(?<=\w)['’](?=\w)", "", _LABEL.sub(" ", s))
     if not t.isascii():
         t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
     return " ".join(_WORD.findall(t)) or None

@@ -196,7 +196,7 @@ Q = "In the Rovek Ledger, how many keepers looked after Tamor Mill in 1801?"
     "other, same",
     [
         (Q, True), ("in the rovek ledger, how many keepers looked after tamor mill in 1801? Thanks.", True), ("How many keepers looked after Tamor Mill in 1801, per the Rovek Ledger?", True),
-        ("In the Rovek Ledger, how many keepres looked aftr Tamor Mill in 1801?", True), (Q.replace("1801", "1802"), False), (Q.replace("Tamor", "Belun"), False), (Q.replace("Rovek", "Sumil"), False),
+        ("In the Rovek Ledger, how many keepres looked aftr Tamor Mill in 1801?", True), ("Can you help? Question 7. " + Q, True), ("12) " + Q, True), (Q.replace("1801", "7"), False), (Q.replace("1801", "1802"), False), (Q.replace("Tamor", "Belun"), False), (Q.replace("Rovek", "Sumil"), False),
         ("In the Rovek Ledger, which town lies closest to Tamor Mill in 1801?", False), (None, False), ("?!", False),
     ],
 )
