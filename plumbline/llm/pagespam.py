@@ -18,6 +18,7 @@ curve, and one with some of them is cleared by it.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -53,6 +54,8 @@ SEED_SAMPLE = 20_000
 FORM_WEIGHT = 2.0
 #: Share of spam forms beyond which a page is a seed of spam.
 SPAM_SHARE = 0.5
+#: Deviations from the prose of its class from which a page's forms are looked at.
+ODD = 2.0
 #: Curve features and the weights a fit starts from and is held to where seeds are few.
 FEATURES = ("slope_dev", "residual_dev", "reach_dev", "divergence_dev", "likelihood", "length", "numbers")
 PRIOR = np.array([-0.5, 0.5, -0.5, 1.0, 2.0, 0.0, -2.0, -3.0])
@@ -202,7 +205,7 @@ def keyword_chars(text: str) -> tuple[int, int]:
 
 _LINK, _TAG, _PRICED, _NUMBER = "\u0001link", "\u0001tag", "\u0001price", "\u0001num"
 _TOKENS = (
-    r"<a\b[^>]*>|\]\([^)\s]*\)|https?://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+|#[\p{L}\p{N}_][\p{L}\p{N}_-]*|\d+[.,]\d\d(?!\d)|\d+(?:[.,:]\d+)*"
+    r"[a-gi-vx-z][a-z\u00df-\u052f]*+|<a\b[^>]*>|\]\([^)\s]*\)|https?://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+|#[\p{L}\p{N}_][\p{L}\p{N}_-]*|\d+[.,]\d\d(?!\d)|\d+(?:[.,:]\d+)*"
     r"|[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]|[\p{L}\p{M}]+"
 )
 
@@ -210,9 +213,11 @@ _TOKENS = (
 def page_tokens(text: Column) -> Column:
     """Tokens of a page; links, hashtags and prices are one token each, numbers carry a mark."""
     def kind(x: Column) -> Column:
+        first = F.substring(x, 1, 1)
+        link = first.isin("<", "]") | x.startswith("www.") | x.startswith("http://") | x.startswith("https://")
         return (
-            F.when(x.rlike(r"^(?:<a|\]\(|https?://|www\.)"), _LINK).when(x.startswith("#"), _TAG)
-            .when(x.rlike(r"^\d+[.,]\d\d$"), _PRICED).when(x.rlike(r"^\d"), F.concat(F.lit("\u0001"), x)).otherwise(x)
+            F.when(first.between("0", "9"), F.when(x.rlike(r"^\d+[.,]\d\d$"), _PRICED).otherwise(F.concat(F.lit("\u0001"), x)))
+            .when(first == "#", _TAG).when(link, _LINK).otherwise(x)
         )
 
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(_TOKENS), F.lit(0)), kind)
@@ -277,6 +282,16 @@ def _deviation(pages: DataFrame, *columns: str) -> DataFrame:
     return out.drop(*[f"{k}_{c}" for k in (0, 1, 2) for c in columns])
 
 
+def out_of_the_way(pages: DataFrame) -> DataFrame:
+    """``pages`` with few function words for their language, or with slope, residual or reach beyond ``ODD`` of the prose of their class."""
+    mid = pages.where("function_mass >= 0.15").groupBy("page_lang").agg(F.percentile_approx("function_mass", 0.5, 1000).alias("usual"))
+    rows = pages.drop("tokens").join(F.broadcast(mid), "page_lang", "left").withColumn("reach", F.log("distinct") - F.log("words"))
+    rows = rows.withColumn("prose", F.coalesce((F.col("function_mass") > 0) & (F.col("function_mass") >= 0.5 * F.col("usual")), F.lit(False)))
+    dev = _deviation(rows, "slope", "residual", "reach")
+    few = F.col("function_mass") < 0.75 * F.coalesce("usual", F.lit(1.0))
+    return dev.where(few | (F.greatest(F.abs("slope_dev"), F.abs("residual_dev"), F.abs("reach_dev")) > math.log1p(ODD)))
+
+
 def curve_features(pages: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """``key, share, FEATURES`` of pages with ``tokens`` and the share of spam forms.
 
@@ -355,13 +370,18 @@ def scored_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     once = docs.where(F.col(text).rlike(r"\S")).groupBy(key).agg(F.max(text).alias(text))
     scratch = Scratch(docs.sparkSession, "curves")
 
+    # one row per page, written once for its readers
+    pages = scratch.cut(rank_curves(once, key, text))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([spam_share(t) for t in b.column(1).to_pylist()], pa.float64())], names=[key, "share"])
 
-    shares = once.mapInArrow(run, f"`{key}` {kind}, share double")
-    # one row per page, written once for its readers
-    pages = scratch.cut(rank_curves(once, key, text).join(shares, key))
+    # the forms are asked of pages whose curve is out of the way; the others hold none worth the name
+    odd = out_of_the_way(pages).select(key)
+    shares = docs.select(key, text).join(odd, key, "left_semi").where(F.col(text).rlike(r"\S")).groupBy(key).agg(F.max(text).alias(text)).mapInArrow(run, f"`{key}` {kind}, share double")
+    shares = scratch.cut(shares)
+    pages = pages.join(shares, key, "left").fillna(0.0, ["share"])
     rows = scratch.cut(curve_features(pages, key, scratch))
     sample = rows.select(F.xxhash64(key).alias("h"), "share", *FEATURES).orderBy("h").limit(SEED_SAMPLE).toPandas()
     w = fit_seeds(sample[list(FEATURES)].to_numpy(float), (sample["share"] > SPAM_SHARE).to_numpy(float))
