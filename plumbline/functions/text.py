@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 #: Fixed values, in order of precedence.
 QUESTION_WORDS = ("who", "what", "when", "where", "why", "how", "which", "whose")
-#: Hedges looked for as substrings.
-HEDGES = ("maybe", "perhaps", "possibly", "might", "could", "likely", "probably")
+#: Words looked for as substrings, each at most once a text.
+UNCERTAIN = ("might", "may", "perhaps", "possibly", "allegedly", "reportedly", "supposedly", "apparently")
+ACADEMIC = ("theorem", "prove", "discovery", "theory", "formula", "principle", "law", "equation")
+FICTION = ("wrote", "book", "novel", "story", "character", "author")
 
 
 def tokens(c: Column) -> Column:
@@ -25,11 +27,14 @@ def text_features(df: DataFrame, key: str, text: str) -> DataFrame:
     for w in reversed(QUESTION_WORDS):
         qw = F.when(low.contains(w), w).otherwise(qw)
     z = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    capitals, marks = F.length(F.regexp_replace(c, r"[^\p{Lu}]", "")), F.length(F.regexp_replace(c, r"""[^.,!?;:()"']""", ""))
+    numbers = F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0))
     return df.select(
         key, n.alias("n_tokens"), chars.alias("n_chars"), F.size(F.array_distinct(t)).alias("n_unique"), z(F.size(F.array_distinct(t)), n).alias("lexical_diversity"),
         z(F.aggregate(t, F.lit(0), lambda s, x: s + F.length(x)), n).alias("avg_word_len"), qw.alias("question_word"),
-        z(F.length(F.regexp_replace(c, "[^A-Z]", "")), chars).alias("capital_ratio"), z(F.length(F.regexp_replace(c, r"""[^.,!?;:()"']""", "")), chars).alias("punct_ratio"),
-        F.size(F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0))).alias("n_numbers"), sum((low.contains(h).cast("int") for h in HEDGES), F.lit(0)).alias("n_hedges"),
+        capitals.alias("n_capitals"), z(capitals, chars).alias("capital_ratio"), marks.alias("n_punct"), z(marks, chars).alias("punct_ratio"),
+        (F.size(numbers) > 0).cast("int").alias("has_numbers"), F.size(numbers).alias("n_numbers"),
+        *[sum((low.contains(h).cast("int") for h in words), F.lit(0)).alias(name) for name, words in (("n_uncertain", UNCERTAIN), ("n_academic", ACADEMIC), ("n_fiction", FICTION))],
     )
 
 
@@ -84,3 +89,20 @@ def perturb(question: Column, method: Column, u: Column) -> Column:
         .when(method == "nonsense", F.concat(question, F.lit(" <"), F.substring(F.md5(question.cast("binary")), 1, 12), F.lit(">")))
         .when(method == "false_premise", F.concat(pick(("Assume the opposite. ", "Suppose this is untrue. ")), question)).otherwise(question)
     )
+
+
+def ground_truth_rule(category: Column, question: Column, values: Column) -> Column:
+    """Which rule states the ground truth of a prompt by its category, its words and what was filled in; the first that holds."""
+    q = F.coalesce(question, F.lit(""))
+    low = F.lower(q)
+    has = lambda c, *ws: F.coalesce(F.greatest(*[F.contains(c, F.lit(w)) for w in ws], F.lit(False)), F.lit(False))
+    endless = has(q, "last", "largest", "final")
+    impossible = (
+        F.when(F.coalesce(F.map_contains_key(values, "conjecture"), F.lit(False)) | has(q, "Hypothesis", "P = NP", "P != NP"), "open problem")
+        .when(endless & has(q, "prime", "integer", "digit of pi"), "no such object").when(endless, F.lit(None))
+        .when(has(q, "future", "predict"), "unknowable future").when(has(q, "exactly what I"), "unreadable thought").otherwise("unknowable")
+    )
+    factual = F.when(has(low, "president"), "office").when(has(low, "capital"), "capital").when(has(low, "chemical formula"), "formula").when(has(low, "who wrote"), "author").otherwise("verifiable")
+    return F.coalesce(
+        F.when(category == "impossible", impossible).when(category == "nonexistent", "invented").when(category == "ambiguous", "no single answer").when(category == "factual", factual), F.lit("not specified")
+    )

@@ -6,27 +6,30 @@ import math
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import mann_whitney
+from ..session import Scratch
+from .ranks import classification_metrics, mann_whitney
 from .sampling import uniform
 
 METRICS = "feature_set string, model string, fold int, auc double"
 
 
-def assembled(numeric: list[str], categorical: list[str]) -> list:
-    """Stages: alphabetic one-hot of all categories, standard scaling of the numbers."""
+def assembled(numeric: list[str], categorical: list[str], n: int = 0) -> list:
+    """Stages: alphabetic one-hot of all categories, scaling of the numbers by the population's deviation over ``n`` rows."""
     stages, inputs = [], []
     for c in categorical:
         stages += [StringIndexer(inputCol=c, outputCol=f"_{c}_i", stringOrderType="alphabetAsc", handleInvalid="keep"), OneHotEncoder(inputCol=f"_{c}_i", outputCol=f"_{c}_h", dropLast=False)]
         inputs.append(f"_{c}_h")
     if numeric:
         stages += [VectorAssembler(inputCols=numeric, outputCol="_num", handleInvalid="keep"), StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True)]
-        inputs.append("_scaled")
+        stages += [ElementwiseProduct(inputCol="_scaled", outputCol="_scaled_p", scalingVec=Vectors.dense([math.sqrt(n / (n - 1)) if n > 1 else 1.0] * len(numeric)))]
+        inputs.append("_scaled_p")
     return [*stages, VectorAssembler(inputCols=inputs, outputCol="features")]
 
 
@@ -53,7 +56,8 @@ def auc(df: DataFrame, score: str, target: str) -> float | None:
 def scored(train: DataFrame, test: DataFrame, kind: str, numeric: list[str], categorical: list[str], target: str) -> DataFrame:
     """``test`` with the predicted probability of class 1 as ``score``."""
     t = balanced(train.na.fill(0.0, numeric), target)
-    model = Pipeline(stages=[*assembled(numeric, categorical), classifier(kind, target, t.count())]).fit(t)
+    n = t.count()
+    model = Pipeline(stages=[*assembled(numeric, categorical, n), classifier(kind, target, n)]).fit(t)
     return model.transform(test.na.fill(0.0, numeric)).withColumn("score", vector_to_array("probability")[1])
 
 
@@ -62,7 +66,8 @@ def cross_validate(df: DataFrame, key: str, target: str, sets: dict[str, tuple[l
 
     ``group_col`` keeps rows of one group in one fold.
     """
-    d = df.withColumn("_f", F.floor(uniform(seed, F.col(group_col or key)) * folds).cast("int")).persist()
+    d = df.withColumn("_f", F.floor(uniform(seed, F.col(group_col or key)) * folds).cast("int"))
+    d = Scratch(df.sparkSession, "folds").cut(d)
     rows = []
     for name, (num, cat) in sets.items():
         for kind in kinds:
@@ -104,3 +109,41 @@ def importance(model, names: list[str]) -> list[tuple[str, float]]:
     last = model.stages[-1]
     v = [abs(x) for x in last.coefficients] if hasattr(last, "coefficients") else list(last.featureImportances.toArray())
     return sorted(zip(names, map(float, v)), key=lambda x: -x[1])
+
+
+def grid(df: DataFrame, sets: dict[str, tuple[list[str], list[str]]], kinds: tuple[str, ...], target: str, part: str = "part") -> DataFrame:
+    """``feature_set, model, val_auc, test_auc, accuracy, precision, recall, f1, best``: fitted on train, the first highest validation AUC is best."""
+    d = Scratch(df.sparkSession, "grid").cut(df)
+    rows, top = [], -1.0
+    for name, (num, cat) in sets.items():
+        for kind in kinds:
+            s = scored(d.where(F.col(part) == "train"), d.where(F.col(part) != "train"), kind, num, cat, target).select(part, target, "score")
+            s = Scratch(df.sparkSession, "scored").cut(s)
+            val, test = (auc(s.where(F.col(part) == p), "score", target) for p in ("validation", "test"))
+            m = classification_metrics(s.where(F.col(part) == "test"), F.col(target) == 1, F.col("score") >= 0.5).first()
+            rows.append([name, kind, val, test, *[float(m[k]) for k in ("accuracy", "precision", "recall", "f1")]])
+    best = None
+    for r in rows:
+        if r[2] is not None and r[2] > top:
+            top, best = r[2], (r[0], r[1])
+    kind = "feature_set string, model string, val_auc double, test_auc double, accuracy double, precision double, recall double, f1 double, best boolean"
+    return df.sparkSession.createDataFrame([(*r, (r[0], r[1]) == best) for r in rows], kind)
+
+
+def within(df: DataFrame, category: str, numeric: list[str], target: str, key: str, least: int = 20, least_class: int = 5, seed: int = 42) -> DataFrame:
+    """``category, n, n_positive, rate, auc, accuracy`` of a logistic model per category, on a held-out 30 %.
+
+    Categories with fewer rows, or fewer of either class, are left out; missing
+    numbers are filled with the category's mean. One model per category: they are few.
+    """
+    d = df.join(F.broadcast(df.groupBy(category).agg(*[F.avg(c).alias(f"_m_{c}") for c in numeric])), category)
+    d = d.select(key, category, target, *[F.coalesce(c, f"_m_{c}", F.lit(0.0)).alias(c) for c in numeric], (uniform(seed, F.col(key)) < 0.7).alias("_train"))
+    d = Scratch(df.sparkSession, "within").cut(d)
+    g = d.groupBy(category).agg(F.count("*").alias("n"), F.sum(target).alias("k")).where((F.col("n") >= least) & (F.col("k") >= least_class) & (F.col("n") - F.col("k") >= least_class))
+    rows = []
+    for r in g.orderBy(category).collect():
+        x = d.where(F.col(category) == r[category])
+        s = scored(x.where("_train"), x.where("not _train"), "logistic", numeric, [], target)
+        acc = s.agg(F.avg(((F.col("score") >= 0.5) == (F.col(target) == 1)).cast("double")).alias("a")).first().a
+        rows.append((r[category], int(r.n), int(r.k), float(r.k / r.n), auc(s, "score", target), acc))
+    return df.sparkSession.createDataFrame(rows, f"{category} string, n long, n_positive long, rate double, auc double, accuracy double")

@@ -1,20 +1,125 @@
-"""Bootstrap and permutation, replicate batches as the unit of work.
+"""Bootstrap and permutation over distributed cells.
 
-Rows are first reduced to bounded sufficient statistics (cells of value and
-count), so that a replicate draws from counts and never from the rows themselves.
+Rows are reduced to cells of value and count. A replicate of a mean, of a rank
+correlation or of a relabelling is drawn where the cells lie and only its sums
+leave a task, so that the number of distinct values has no bound. Replicates of
+the nested bootstrap are tasks over a broadcast table of checked size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-REPLICATES_PER_TASK = 250
+from ..session import Scratch
+from .ranks import average_rank
 
+REPLICATES_PER_TASK = 50
+#: Rows of a table that is sent to every task of a nested bootstrap.
+MAX_SENT = 2_000_000
 
-def _replicates(df: DataFrame, cells: pd.DataFrame, one, replicates: int, seed: int, schema: str) -> DataFrame:
+
+def _sums(cells: DataFrame, draw, width: int) -> DataFrame:
+    """``t, s0..``: per replicate, sums over the cells; ``draw(pdf, pid)`` gives a (replicates x width) matrix for one batch of cells."""
+    schema = "t int, " + ", ".join(f"s{i} double" for i in range(width))
+
+    def run(batches):
+        total = None
+        for n, pdf in enumerate(batches):
+            part = draw(pdf, int(pdf["_p"].iloc[0]) * 1_000_003 + n if len(pdf) else 0)
+            total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"t": np.arange(len(total)), **{f"s{i}": total[:, i] for i in range(width)}})
+
+    return cells.withColumn("_p", F.spark_partition_id()).mapInPandas(run, schema).groupBy("t").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)])
+
+
+def _interval(reps: DataFrame, value: Column, *probs: float) -> DataFrame:
+    return reps.select(value.alias("m")).where("m is not null and not isnan(m)").agg(F.percentile("m", F.array(*[F.lit(p) for p in probs])).alias("q"))
+
+
+def bootstrap_mean(df: DataFrame, value: str, replicates: int = 2000, seed: int = 1) -> DataFrame:
+    """estimate, low, high: mean and its 95 % percentile interval by the Poisson bootstrap; nulls without rows."""
+    cells = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
+
+    def draw(pdf: pd.DataFrame, at: int) -> np.ndarray:
+        rng, out = np.random.default_rng([seed, at]), np.zeros((replicates, 2))
+        x, n = pdf.x.to_numpy(float), pdf.n.to_numpy(float)
+        for i in range(0, replicates, 100):
+            k = rng.poisson(n, (min(100, replicates - i), len(n)))
+            out[i : i + 100] = np.c_[k @ x, k.sum(axis=1)]
+        return out
+
+    q = _interval(_sums(cells, draw, 2), F.try_divide("s0", "s1"), 0.025, 0.975)
+    return cells.agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("estimate")).crossJoin(q).select("estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def bootstrap_spearman(df: DataFrame, x: str, y: str, fraction: float = 0.8, replicates: int = 1000, seed: int = 1) -> DataFrame:
+    """median, low, high of Spearman's rho over resamples of a fraction of the rows; under 10 rows nulls.
+
+    Ranks are exact over all rows; a resample weighs each pair of ranks by a
+    Poisson count of mean ``fraction``.
+    """
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
+    r = average_rank(average_rank(d, x, out="_a"), y, out="_b").groupBy(F.col("_a").alias("x"), F.col("_b").alias("y")).agg(F.count("*").alias("n"))
+    mid = r.agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("_mid"), F.sum("n").alias("_all"))
+    cells = r.crossJoin(F.broadcast(mid)).where("_all >= 10").select((F.col("x") / F.col("_mid") - 1).alias("x"), (F.col("y") / F.col("_mid") - 1).alias("y"), "n")
+
+    def draw(pdf: pd.DataFrame, at: int) -> np.ndarray:
+        rng, out = np.random.default_rng([seed, at]), np.zeros((replicates, 6))
+        a, b, n = pdf.x.to_numpy(float), pdf.y.to_numpy(float), pdf.n.to_numpy(float)
+        terms = np.c_[np.ones_like(a), a, b, a * a, b * b, a * b]
+        for i in range(0, replicates, 100):
+            out[i : i + 100] = rng.poisson(fraction * n, (min(100, replicates - i), len(n))) @ terms
+        return out
+
+    s = [F.col(f"s{i}") for i in range(6)]
+    rho = (s[5] - s[1] * s[2] / s[0]) / F.sqrt((s[3] - s[1] * s[1] / s[0]) * (s[4] - s[2] * s[2] / s[0]))
+    q = _interval(_sums(cells, draw, 6).where("s0 > 0"), rho, 0.5, 0.025, 0.975)
+    return q.select(F.col("q")[0].alias("median"), F.col("q")[1].alias("low"), F.col("q")[2].alias("high"))
+
+
+def permutation_difference(df: DataFrame, value: str, group: str, replicates: int = 10_000, seed: int = 2025) -> DataFrame:
+    """Observed difference of group means and the share of relabellings with at least as large a one.
+
+    A relabelling splits the first group's size over the partitions of the cells,
+    and each share over the cells of its partition: hypergeometric draws throughout,
+    so that together they are one draw over all cells.
+    """
+    spark = df.sparkSession
+    cells = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"), F.sum(group).alias("k"))
+    cells = Scratch(spark, "permutation").cut(cells.withColumn("part", F.spark_partition_id()))
+    parts = cells.groupBy("part").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("x") * F.col("n")).alias("xn"), F.sum(F.col("x") * F.col("k")).alias("xk")).orderBy("part").toPandas()
+    n1, n = int(parts.k.sum()), int(parts.n.sum())
+    if not n1 or n1 == n:
+        return spark.createDataFrame([(None, None)], "difference double, p double")
+    rng = np.random.default_rng(seed)
+    shares = rng.multivariate_hypergeometric(parts.n.to_numpy(int), n1, size=replicates, method="marginals")
+    sent = spark.sparkContext.broadcast({int(p): shares[:, i] for i, p in enumerate(parts.part)})
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = int(pdf["part"].iloc[0])
+        r, counts, x = np.random.default_rng([seed, part]), pdf.n.to_numpy(int), pdf.x.to_numpy(float)
+        order = np.argsort(x)
+        return pd.DataFrame({"t": np.arange(replicates), "s": [float(r.multivariate_hypergeometric(counts[order], int(k), method="marginals") @ x[order]) for k in sent.value[part]]})
+
+    total, seen = float(parts.xn.sum()), float(parts.xk.sum() / n1 - (parts.xn.sum() - parts.xk.sum()) / (n - n1))
+    reps = cells.groupBy("part").applyInPandas(draw, "t int, s double").groupBy("t").agg(F.sum("s").alias("s"))
+    diff = F.col("s") / n1 - (F.lit(total) - F.col("s")) / (n - n1)
+    return reps.agg(F.avg((F.abs(diff) >= abs(seen) - 1e-9 * max(1.0, abs(seen))).cast("double")).alias("p")).select(F.lit(seen).alias("difference"), "p")
+
+
+def _checked(df: DataFrame) -> pd.DataFrame:
+    """``df`` on the driver, if it has at most ``MAX_SENT`` rows; else an error."""
+    rows = df.limit(MAX_SENT + 1).toPandas()
+    if len(rows) > MAX_SENT:
+        raise ValueError(f"more than {MAX_SENT} rows in a table that every task of the bootstrap needs")
+    return rows
+
+
+def _replicates(df: DataFrame, cells, one, replicates: int, seed: int, schema: str) -> DataFrame:
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast(cells)
     tasks = -(-replicates // REPLICATES_PER_TASK)
@@ -29,60 +134,39 @@ def _replicates(df: DataFrame, cells: pd.DataFrame, one, replicates: int, seed:
     return spark.range(tasks, numPartitions=tasks).mapInPandas(run, schema)
 
 
-def bootstrap_mean(df: DataFrame, value: str, replicates: int = 2000, seed: int = 1) -> DataFrame:
-    """estimate, low, high: mean and its 95 % percentile interval. Distinct values must be bounded, as rates of k samples are."""
-    cells = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n")).orderBy("x").toPandas()
-    if not len(cells):
-        return df.sparkSession.createDataFrame([(None, None, None)], "estimate double, low double, high double")
-    x, n = cells.x.to_numpy(), cells.n.to_numpy()
-    p = n / n.sum()
-    reps = _replicates(df, cells, lambda c, rng: (float(rng.multinomial(n.sum(), p) @ x / n.sum()),), replicates, seed, "m double")
-    return reps.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(F.lit(float(x @ p)).alias("estimate"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
-
-
-def _rank_corr(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
-    def ranks(v):
-        u, inv = np.unique(v, return_inverse=True)
-        c = np.bincount(inv, n)
-        return (np.cumsum(c) - (c - 1) / 2)[inv]
-
-    a, b = ranks(x), ranks(y)
-    a, b = a - np.average(a, weights=n), b - np.average(b, weights=n)
-    d = np.sqrt((n @ a**2) * (n @ b**2))
-    return float(n @ (a * b) / d) if d > 0 else float("nan")
-
-
-def bootstrap_spearman(df: DataFrame, x: str, y: str, digits: int = 2, fraction: float = 0.8, replicates: int = 1000, seed: int = 1) -> DataFrame:
-    """median, low, high of Spearman's rho over resamples of a fraction, values rounded to ``digits`` so that cells stay bounded."""
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.round(x, digits).alias("x"), F.round(y, digits).alias("y")).agg(F.count("*").alias("n")).orderBy("x", "y").toPandas()
-    n = cells.n.to_numpy()
-    if n.sum() < 10:
-        return df.sparkSession.createDataFrame([(None, None, None)], "median double, low double, high double")
-    size, p, xs, ys = int(fraction * n.sum()), n / n.sum(), cells.x.to_numpy(float), cells.y.to_numpy(float)
-
-    def one(_, rng):
-        k = rng.multinomial(size, p)
-        on = k > 0
-        return (_rank_corr(xs[on], ys[on], k[on]),)
-
-    reps = _replicates(df, cells, one, replicates, seed, "m double").where(~F.isnan("m"))
-    return reps.agg(F.percentile("m", F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975))).alias("q")).select(F.col("q")[0].alias("median"), F.col("q")[1].alias("low"), F.col("q")[2].alias("high"))
-
-
-def permutation_difference(df: DataFrame, value: str, group: str, replicates: int = 10_000, seed: int = 2025) -> DataFrame:
-    """Observed difference of group means and the share of relabellings with at least as large a one, by multivariate hypergeometric draws."""
-    cells = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"), F.sum(group).alias("k")).orderBy("x").toPandas()
-    x, n, k = cells.x.to_numpy(), cells.n.to_numpy(), cells.k.to_numpy()
-    n1, n0 = int(k.sum()), int((n - k).sum())
-    diff = lambda c: c @ x / n1 - (n - c) @ x / n0
-    seen = float(diff(k))
-    reps = _replicates(df, cells, lambda _, rng: (float(diff(rng.multivariate_hypergeometric(n, n1, method="marginals"))),), replicates, seed, "m double")
-    return reps.agg(F.avg((F.abs("m") >= abs(seen) - 1e-12).cast("double")).alias("p")).select(F.lit(seen).alias("difference"), "p")
+def tau_b(x: np.ndarray, y: np.ndarray, strata: list[np.ndarray]) -> float:
+    """Tau-b over the pairs within each stratum (arrays of places); a thousand rows of the pair matrix at a time."""
+    num = dx = dy = 0.0
+    for at in strata:
+        a, b = x[at], y[at]
+        for i in range(0, len(at), 1000):
+            sx, sy = np.sign(a[i : i + 1000, None] - a), np.sign(b[i : i + 1000, None] - b)
+            num, dx, dy = num + float((sx * sy).sum()), dx + float(np.abs(sx).sum()), dy + float(np.abs(sy).sum())
+    return num / np.sqrt(dx * dy) if dx * dy > 0 else float("nan")
+
+
+def nested_bootstrap_tau(pair: DataFrame, strata: str, x: str, kx: str, y: str, ky: str, replicates: int = 500, seed: int = 1) -> DataFrame:
+    """mean, low, high of blocked tau-b: prompts are drawn within their stratum, then both models' counts within the prompt."""
+    rows = _checked(pair.select(F.col(strata).alias("s"), F.col(x).alias("x"), F.col(kx).cast("int").alias("kx"), F.col(y).alias("y"), F.col(ky).cast("int").alias("ky")).orderBy("s", "x", "y", "kx", "ky"))
+    groups = [g.index.to_numpy() for _, g in rows.groupby("s")]
+    data = (groups, *(rows[c].to_numpy() for c in ("x", "kx", "y", "ky")))
+
+    def one(d, rng):
+        parts, vx, nx, vy, ny = d
+        drawn = [rng.choice(g, len(g)) for g in parts]
+        at = np.concatenate(drawn) if drawn else np.zeros(0, int)
+        ends = np.cumsum([len(g) for g in drawn])
+        places = [np.arange(e - len(g), e) for g, e in zip(drawn, ends)]
+        return (tau_b(rng.binomial(nx[at], vx[at]) / nx[at], rng.binomial(ny[at], vy[at]) / ny[at], places),)
+
+    reps = _replicates(pair, data, one, replicates, seed, "m double").where("not isnan(m)")
+    return reps.agg(F.avg("m").alias("mean"), F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select("mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def nested_bootstrap(per: DataFrame, strata: str, k: str, p: str, replicates: int = 500, seed: int = 1) -> DataFrame:
     """Two levels: prompts within stratum, then binomial counts within prompt; interval of the mean rate."""
-    cells = per.groupBy(F.col(strata).alias("s"), F.col(k).cast("int").alias("k"), F.col(p).alias("p")).agg(F.count("*").alias("n")).orderBy("s", "k", "p").toPandas()
+    cells = per.groupBy(F.col(strata).alias("s"), F.col(k).cast("int").alias("k"), F.col(p).alias("p")).agg(F.count("*").alias("n")).orderBy("s", "k", "p")
+    cells = _checked(cells)
     parts = [g for _, g in cells.groupby("s")]
 
     def one(_, rng):

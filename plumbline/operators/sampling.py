@@ -65,3 +65,20 @@ def apportion(weights: dict[str, float], capacity: dict[str, int], n: int) -> di
         k = max((k for k in out if out[k] < capacity[k]), key=lambda k: (exact[k] - out[k], k))
         out[k] += 1
     return out
+
+
+def last_remainder(df: DataFrame, stratum: str, key: str, n: int, seed: str | int) -> DataFrame:
+    """floor(n x share) rows per stratum; the last stratum by name takes what is left of ``n``. Sizes are one row per stratum."""
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))
+    last = sizes.agg(F.max(stratum).alias("_last"), F.sum("_n").alias("_t"))
+    q = sizes.crossJoin(F.broadcast(last)).withColumn("_f", F.floor(F.lit(float(n)) * F.col("_n") / F.col("_t")))
+    others = q.agg(F.coalesce(F.sum(F.when(F.col(stratum) != F.col("_last"), F.col("_f"))), F.lit(0)).alias("_o"))
+    quota = q.crossJoin(F.broadcast(others)).select(stratum, F.when(F.col(stratum) == F.col("_last"), F.lit(n) - F.col("_o")).otherwise(F.col("_f")).alias("_q"))
+    return per_stratum(df.join(F.broadcast(quota), stratum), stratum, key, F.col("_q"), seed).drop("_q")
+
+
+def verify_sample(df: DataFrame, source: str, failing: Column, key: str, n: int, seed: str | int) -> DataFrame:
+    """Per source half of ``n`` rows that fail and half that don't, as far as there are any."""
+    d = df.withColumn("failing", failing)
+    w = Window.partitionBy(source, "failing").orderBy(*_order(key, seed))
+    return d.withColumn("_d", F.row_number().over(w)).where(F.col("_d") <= n // 2).select(key, source, "failing")

@@ -104,7 +104,7 @@ def cmh(tables: DataFrame) -> DataFrame:
     n, r1, r2, c1, c2 = a + b + c + d, a + b, c + d, a + c, b + d
     t = tables.where((r1 > 0) & (r2 > 0) & (c1 > 0) & (c2 > 0) & (n > 1))
     g = t.agg(F.count("*").alias("tables"), F.sum(a - r1 * c1 / n).alias("diff"), F.sum(r1 * r2 * c1 * c2 / (n * n * (n - 1))).alias("var"), F.sum(a * d / n).alias("up"), F.sum(b * c / n).alias("down"))
-    dd = F.greatest(F.abs("diff") - 0.5, F.lit(0.0))
+    dd = F.abs("diff") - 0.5
     return g.select("tables", F.when(F.col("var") > 0, dd * dd / F.col("var")).alias("chi2"), F.when(F.col("down") > 0, F.col("up") / F.col("down")).alias("odds_ratio"))
 
 
@@ -183,3 +183,22 @@ def stratified_apply(df: DataFrame, by: str, fn, schema: str) -> DataFrame:
             return pdf.iloc[:0].reindex(columns=[c.split()[0] for c in schema.split(",")])
 
     return df.groupBy(by).applyInPandas(run, schema)
+
+
+def residual_null_band(df: DataFrame, key: str, x: str, y: str, stratum: str, draws: int, seed: int = 20260831) -> DataFrame:
+    """``draws, mean, sd, p05, p50, p95``: blocked tau-b after residualising on normal covariates that tell nothing.
+
+    The covariate of a row and draw comes from its hash, so that it is the same in
+    every run. A draw is one group; strata keep their pairs apart.
+    """
+    u = lambda n: (F.pmod(F.xxhash64(F.lit(seed), F.lit(n), F.col(key), F.col("draw")), F.lit(2**31 - 1)) + 1) / F.lit(2.0**31)
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y, F.col(stratum).alias("_s"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    d = d.withColumn("_z", F.sqrt(-2 * F.log(u(1))) * F.cos(2 * F.lit(3.141592653589793) * u(2)))
+    w = Window.partitionBy("draw", "_s")
+    d = d.select("draw", "_s", *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in (x, y, "_z")])
+    g = d.groupBy("draw").agg(*[F.try_divide(F.sum(F.col(c) * F.col("_z")), F.sum(F.col("_z") * F.col("_z"))).alias(f"_b{c}") for c in (x, y)])
+    r = d.join(F.broadcast(g), "draw").select("draw", F.struct("draw", "_s").alias("s"), *[F.round(F.col(c) - F.coalesce(f"_b{c}", F.lit(0.0)) * F.col("_z"), 9).alias(c) for c in (x, y)])
+    p = tau_parts(r, x, y, "s").groupBy("s.draw").agg(*[F.sum(k).alias(k) for k in ("num", "dx", "dy")])
+    t = p.select(F.when(F.col("dx") * F.col("dy") > 0, F.col("num") / F.sqrt(F.col("dx") * F.col("dy"))).alias("t")).where("t is not null")
+    q = t.agg(F.count("*").alias("draws"), F.avg("t").alias("mean"), F.stddev_pop("t").alias("sd"), F.percentile("t", F.array(*[F.lit(v) for v in (0.05, 0.5, 0.95)])).alias("q"))
+    return q.select("draws", "mean", "sd", F.col("q")[0].alias("p05"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p95"))

@@ -36,19 +36,19 @@ ANSWERS = """answers AS (SELECT DISTINCT item_id, id AS uid, generation_model AS
 
 def panels(spark: SparkSession, d: str) -> DataFrame:
     """item_id, model, label, votes of the answers that have a panel."""
-    return table(spark, d, "judged_answers").where("individual_judgments is not null").groupBy("item_id").agg(
-        F.first("generation_model").alias("model"), F.first("judge_label").alias("label"), F.first("individual_judgments").alias("votes")
-    )
+    row = F.struct(F.col("generation_model").alias("model"), F.col("judge_label").alias("label"), F.col("individual_judgments").alias("votes"))
+    first = F.min_by(row, F.struct("judged_at", F.to_json(row))).alias("r")
+    return table(spark, d, "judged_answers").where("individual_judgments is not null").groupBy("item_id").agg(first).select("item_id", "r.*")
 
 
-PANELS = """panels AS (SELECT item_id, any_value(generation_model) AS model, any_value(judge_label) AS label, any_value(individual_judgments) AS votes
-  FROM judged_answers WHERE individual_judgments IS NOT NULL GROUP BY item_id)"""
+PANELS = """panels AS (SELECT item_id, r.model AS model, r.label AS label, r.votes AS votes FROM (SELECT item_id, arg_min({'model': generation_model, 'label': judge_label, 'votes': individual_judgments},
+  {'t': judged_at, 'j': to_json({'model': generation_model, 'label': judge_label, 'votes': individual_judgments})}) AS r FROM judged_answers WHERE individual_judgments IS NOT NULL GROUP BY item_id) p)"""
 
 
 def conditions(spark: SparkSession, d: str) -> DataFrame:
-    """Orders under three conditions: id, cond (0 the baseline), label, confidence, category, model."""
+    """Orders under their conditions: id, cond (0 the baseline), label, confidence, category, model."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    li = table(spark, d, "lineitem").withColumn("cond", F.row_number().over(w) - 1).where("cond < 3")
+    li = table(spark, d, "lineitem").withColumn("cond", F.row_number().over(w) - 1)
     v = li.select(F.col("l_orderkey").alias("id"), "cond", (F.col("l_quantity").cast("int") % 4).alias("label"), F.round(F.col("l_discount") * 10, 1).cast("double").alias("confidence"))
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("category"), F.col("o_orderpriority").alias("model"))
     return v.join(o, "id")
@@ -56,7 +56,7 @@ def conditions(spark: SparkSession, d: str) -> DataFrame:
 
 CONDITIONS = """conditions AS (SELECT v.*, o.o_orderstatus AS category, o.o_orderpriority AS model FROM (
   SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS cond,
-    CAST(l_quantity AS INT) % 4 AS label, CAST(round(l_discount * 10, 1) AS DOUBLE) AS confidence FROM lineitem) v JOIN orders o ON v.id = o.o_orderkey WHERE cond < 3)"""
+    CAST(l_quantity AS INT) % 4 AS label, CAST(round(l_discount * 10, 1) AS DOUBLE) AS confidence FROM lineitem) v JOIN orders o ON v.id = o.o_orderkey)"""
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:

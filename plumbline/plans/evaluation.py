@@ -234,8 +234,8 @@ FROM all_ LEFT JOIN top ON top.k = item_id || '#' || e GROUP BY e, model""")),
     "text_features": (q_text_features, (["lexical_diversity", "avg_word_len", "capital_ratio", "punct_ratio"], f"""WITH {c.PROMPTS}, t AS (SELECT id, coalesce(question, '') AS c, list_filter(regexp_split_to_array(lower(coalesce(question, '')), '\\s+'), lambda x: x <> '') AS w FROM prompts)
 SELECT id, len(w) AS n_tokens, length(c) AS n_chars, len(list_distinct(w)) AS n_unique, coalesce(len(list_distinct(w)) / nullif(len(w), 0), 0) AS lexical_diversity, coalesce(list_sum(list_transform(w, lambda x: length(x))) / nullif(len(w), 0), 0) AS avg_word_len,
  CASE WHEN contains(lower(c), 'who') THEN 'who' WHEN contains(lower(c), 'what') THEN 'what' WHEN contains(lower(c), 'when') THEN 'when' WHEN contains(lower(c), 'where') THEN 'where' WHEN contains(lower(c), 'why') THEN 'why' WHEN contains(lower(c), 'how') THEN 'how' WHEN contains(lower(c), 'which') THEN 'which' WHEN contains(lower(c), 'whose') THEN 'whose' END AS question_word,
- coalesce(length(regexp_replace(c, '[^A-Z]', '', 'g')) / nullif(length(c), 0), 0) AS capital_ratio, coalesce(length(regexp_replace(c, '[^.,!?;:()"'']', '', 'g')) / nullif(length(c), 0), 0) AS punct_ratio, len(regexp_extract_all(c, '\\d+')) AS n_numbers,
- CAST(contains(lower(c), 'maybe') AS INT) + CAST(contains(lower(c), 'perhaps') AS INT) + CAST(contains(lower(c), 'possibly') AS INT) + CAST(contains(lower(c), 'might') AS INT) + CAST(contains(lower(c), 'could') AS INT) + CAST(contains(lower(c), 'likely') AS INT) + CAST(contains(lower(c), 'probably') AS INT) AS n_hedges FROM t""")),
+ coalesce(length(regexp_replace(c, '[^\\p{{Lu}}]', '', 'g')) / nullif(length(c), 0), 0) AS capital_ratio, length(regexp_replace(c, '[^\\p{{Lu}}]', '', 'g')) AS n_capitals, coalesce(length(regexp_replace(c, '[^.,!?;:()"'']', '', 'g')) / nullif(length(c), 0), 0) AS punct_ratio, length(regexp_replace(c, '[^.,!?;:()"'']', '', 'g')) AS n_punct, CAST(len(regexp_extract_all(c, '\\d+')) > 0 AS INT) AS has_numbers, len(regexp_extract_all(c, '\\d+')) AS n_numbers,
+ {', '.join(' + '.join(f'''CAST(contains(lower(c), '{w}') AS INT)''' for w in ws) + f' AS {n}' for n, ws in (('n_uncertain', text.UNCERTAIN), ('n_academic', text.ACADEMIC), ('n_fiction', text.FICTION)))} FROM t""")),
     "trigram_entropy": (lambda s, d: text.trigram_entropy(c.prompts(s, d).where("question is not null").groupBy("id").agg(F.min("question").alias("question")), "id", "question"), (["entropy"], f"WITH {c.PROMPTS}, q AS (SELECT id, min(question) AS t FROM prompts WHERE question IS NOT NULL GROUP BY id), g AS (SELECT id, unnest(list_transform(range(1, greatest(length(t) - 1, 1)), lambda i: substr(t, i, 3))) AS g FROM q WHERE length(t) >= 3), n AS (SELECT id, g, count(*) AS n FROM g GROUP BY id, g), e AS (SELECT id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy FROM n GROUP BY id) SELECT q.id, coalesce(entropy, 0.0) AS entropy FROM q LEFT JOIN e ON q.id = e.id")),
     "integrity_audit": (q_issues, ([], """WITH i AS (SELECT count(*) AS rows, count(*) FILTER (judge_label IS NULL) AS null_label, count(*) FILTER (NOT judge_confidence BETWEEN 0 AND 1) AS bad_confidence, count(*) FILTER (individual_judgments IS NULL) AS no_panel, count(*) FILTER (len(individual_judgments) <> 3) AS panel_size, count(*) FILTER (trim(model_answer) = '') AS empty_answer, count(*) - count(DISTINCT item_id) AS duplicate_key FROM judged_answers)
 SELECT 'judged_answers' AS dataset, issue, n FROM i UNPIVOT (n FOR issue IN (rows, null_label, bad_confidence, no_panel, panel_size, empty_answer, duplicate_key))""")),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import geometry, rates
-from . import carriers, evaluation, statistics
+from . import carriers, evaluation, statistics, studies
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Decimals of the doubles in results and in their SQL.
@@ -31,7 +31,7 @@ def _rounded(fn: Query) -> Query:
 
 
 def _entries() -> dict[str, tuple[Query, str | None]]:
-    return {**evaluation.ENTRIES, **statistics.ENTRIES, "geometry_flagship": (flagship, None)}
+    return {**evaluation.ENTRIES, **statistics.ENTRIES, **studies.ENTRIES, "geometry_flagship": (flagship, None)}
 
 
 def queries() -> dict[str, Query]:

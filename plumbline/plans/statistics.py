@@ -54,10 +54,15 @@ def q_fisher(s, d):
 
 
 def q_verdict(s, d):
-    t = stats.tau_blocked(_pair(s, d), "x", "y", "stratum")
-    r = stats.tau_blocked(_pair(s, d), "p_even", "p_odd", "stratum").select(stats.spearman_brown(F.col("tau")).alias("reliability"))
-    j = t.crossJoin(r)
-    return j.select("tau", "reliability", stats.disattenuate(F.col("tau"), F.col("reliability"), F.col("reliability")).alias("corrected"), stats.verdict(F.col("reliability"), F.lit(False), F.col("tau"), F.lit(0.2)).alias("verdict"))
+    """The verdict on the measured agreement: reliability by halves, floor by the share of prompts at zero, interval by the nested bootstrap."""
+    per = _per(s, d)
+    p = c.pair(per)
+    t = stats.tau_blocked(p, "x", "y", "stratum")
+    r = stats.tau_blocked(p, "p_even", "p_odd", "stratum").select(stats.spearman_brown(F.col("tau")).alias("reliability"))
+    floor = p.agg(F.coalesce(F.greatest(rates.share(F.col("x") == 0), rates.share(F.col("y") == 0)) > 0.5, F.lit(False)).alias("floor"))
+    low = resample.nested_bootstrap_tau(p, "stratum", "x", "ka", "y", "kb", replicates=200).select("low", "high")
+    j = t.crossJoin(r).crossJoin(floor).crossJoin(low)
+    return j.select("tau", "reliability", "low", "high", "floor", stats.disattenuate(F.col("tau"), F.col("reliability"), F.col("reliability")).alias("corrected"), stats.verdict(F.col("reliability"), F.col("floor"), F.col("tau"), F.col("low")).alias("verdict"))
 
 
 def q_inflation(s, d):
@@ -107,7 +112,7 @@ def q_tau_matrix(s, d):
 
 
 def q_fdr(s, d):
-    m = pairing.mcnemar(_pairs(s, d), "cond", "model").select("cond", "model", F.round(F.least(F.lit(1.0), F.lit(1.0) / (1 + F.col("chi2_plain"))), 9).alias("p"))
+    m = pairing.mcnemar(_pairs(s, d), "cond", "model").select("cond", "model", F.round(pvalues.mcnemar_p("b", "c"), 9).alias("p"))
     return stats.bh_fdr(m, "p", "cond")
 
 
@@ -129,7 +134,7 @@ def q_mean(s, d):
 
 
 def q_curvature(s, d):
-    nn = _nn(s, d).persist()
+    nn = Scratch(s, "nn").cut(_nn(s, d))
     return geometry.curvature(c.vectors(s, d), nn, geometry.local_id(nn))
 
 
@@ -177,23 +182,35 @@ _TAU = c.PAIR + """, pp AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) AS num
   FROM pair a JOIN pair b ON a.stratum = b.stratum AND a.uid < b.uid), nn AS (SELECT CAST(sum(n) AS BIGINT) AS n FROM (SELECT stratum, count(*) AS n FROM pair GROUP BY stratum HAVING count(*) >= 2) t)"""
 _MW = "n1, n2, r1 - n1 * (n1 + 1) / 2.0 AS u, 1 - 2 * (r1 - n1 * (n1 + 1) / 2.0) / (n1 * n2) AS effect, (r1 - n1 * (n1 + 1) / 2.0) / (n1 * n2) AS auc"
 
+#: Upper tail of chi-square with one degree of freedom, by the series of erf; beyond 16 it is under 1e-4 of the sixth decimal.
+_SF1 = "CASE WHEN {x} <= 0 THEN 1.0 WHEN {x} > 32 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * (SELECT sum((CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * i + 1) * ln(sqrt({x} / 2)) - lgamma(i + 1.0)) / (2 * i + 1)) FROM generate_series(0, 120) AS g(i)) END"
+_EXACT = "CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1.0) - lgamma(i + 1.0) - lgamma(b + c - i + 1.0) - (b + c) * ln(2.0))) FROM generate_series(0, 24) AS g(i) WHERE i <= least(b, c))) END"
+_YATES = "(CASE WHEN b + c = 0 THEN 0.0 ELSE (abs(b - c) - 1) * (abs(b - c) - 1) / CAST(b + c AS DOUBLE) END)"
+_PLAIN = "(CASE WHEN b + c = 0 THEN 0.0 ELSE (b - c) * (b - c) / CAST(b + c AS DOUBLE) END)"
+_PSQL = f"CASE WHEN b + c < 25 THEN {_EXACT} ELSE {_SF1.format(x=_YATES)} END"
+_HYPER = "exp(lgamma(r1 + 1.0) - lgamma(x + 1.0) - lgamma(r1 - x + 1.0) + lgamma(r2 + 1.0) - lgamma(c1 - x + 1.0) - lgamma(r2 - c1 + x + 1.0) - lgamma(n + 1.0) + lgamma(c1 + 1.0) + lgamma(n - c1 + 1.0))"
+
 ENTRIES = {
     "mcnemar": (q_mcnemar, (["rate_before", "rate_after", "chi2_plain", "chi2_yates", "reduction", "relative_reduction"], f"WITH {_PAIRED}, g AS (SELECT cond, model, count(*) AS n_common, count(*) FILTER (before = 2 AND after <> 2) AS b, count(*) FILTER (before <> 2 AND after = 2) AS c, avg(CAST(before = 2 AS DOUBLE)) AS rate_before, avg(CAST(after = 2 AS DOUBLE)) AS rate_after FROM pairs GROUP BY cond, model) SELECT *, CASE WHEN b + c = 0 THEN 0 ELSE (b - c) * (b - c) / (b + c) END AS chi2_plain, CASE WHEN b + c = 0 THEN 0 ELSE pow(abs(b - c) - 1, 2) / (b + c) END AS chi2_yates, b + c < 25 AS exact, rate_before - rate_after AS reduction, (rate_before - rate_after) / nullif(rate_before, 0) AS relative_reduction FROM g")),
-    "mcnemar_p": (q_mcnemar_p, None),
+    "mcnemar_p": (q_mcnemar_p, (["p", "p_plain"], f"""WITH {_PAIRED}, g AS (SELECT cond, category, count(*) FILTER (before = 2 AND after <> 2) AS b, count(*) FILTER (before <> 2 AND after = 2) AS c FROM pairs GROUP BY 1, 2),
+ q AS (SELECT *, {_PSQL} AS p, {_SF1.format(x=_PLAIN)} AS p_plain FROM g) SELECT *, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM q""")),
     "marginal_rates": (lambda s, d: rates.marginal_rates(c.samples(s, d)), (["rate", "low", "high", "mean_p_hat", "mean_refusal"], f"WITH {c.PER_PAIR}, g AS (SELECT model, CAST(sum(k_eff) AS BIGINT) AS n, CAST(sum(n2) AS BIGINT) AS k, avg(p_hat) AS mean_p_hat, avg(refusal_rate) AS mean_refusal FROM per GROUP BY model), w AS (SELECT *, k / n AS p, 1.959963984540054 AS z FROM g) SELECT model, n, k, p AS rate, greatest(0, (p + z*z/(2*n)) / (1 + z*z/n) - z * sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n)) AS low, least(1, (p + z*z/(2*n)) / (1 + z*z/n) + z * sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n)) AS high, mean_p_hat, mean_refusal FROM w")),
-    "cmh": (q_cmh, (["chi2", "odds_ratio"], f"WITH {c.SAMPLES}, t AS (SELECT uid, CAST(count(*) FILTER (model = 'view' AND label = 2) AS DOUBLE) AS a, CAST(count(*) FILTER (model = 'view' AND label <> 2) AS DOUBLE) AS b, CAST(count(*) FILTER (model = 'click' AND label = 2) AS DOUBLE) AS c, CAST(count(*) FILTER (model = 'click' AND label <> 2) AS DOUBLE) AS d FROM samples GROUP BY uid), u AS (SELECT *, a+b+c+d AS n FROM t WHERE a+b > 0 AND c+d > 0 AND a+c > 0 AND b+d > 0 AND a+b+c+d > 1), g AS (SELECT count(*) AS tables, sum(a - (a+b)*(a+c)/n) AS diff, sum((a+b)*(c+d)*(a+c)*(b+d)/(n*n*(n-1))) AS var, sum(a*d/n) AS up, sum(b*c/n) AS down FROM u) SELECT tables, pow(greatest(abs(diff) - 0.5, 0), 2) / var AS chi2, up / down AS odds_ratio FROM g")),
-    "fisher_truncation": (q_fisher, None),
+    "cmh": (q_cmh, (["chi2", "odds_ratio"], f"WITH {c.SAMPLES}, t AS (SELECT uid, CAST(count(*) FILTER (model = 'view' AND label = 2) AS DOUBLE) AS a, CAST(count(*) FILTER (model = 'view' AND label <> 2) AS DOUBLE) AS b, CAST(count(*) FILTER (model = 'click' AND label = 2) AS DOUBLE) AS c, CAST(count(*) FILTER (model = 'click' AND label <> 2) AS DOUBLE) AS d FROM samples GROUP BY uid), u AS (SELECT *, a+b+c+d AS n FROM t WHERE a+b > 0 AND c+d > 0 AND a+c > 0 AND b+d > 0 AND a+b+c+d > 1), g AS (SELECT count(*) AS tables, sum(a - (a+b)*(a+c)/n) AS diff, sum((a+b)*(c+d)*(a+c)*(b+d)/(n*n*(n-1))) AS var, sum(a*d/n) AS up, sum(b*c/n) AS down FROM u) SELECT tables, pow(abs(diff) - 0.5, 2) / var AS chi2, up / down AS odds_ratio FROM g")),
+    "fisher_truncation": (q_fisher, (["p"], f"""WITH {c.SAMPLES}, t AS (SELECT uid, model, count(*) FILTER (truncated AND label = 2) AS a, count(*) FILTER (truncated AND label <> 2) AS b, count(*) FILTER (NOT truncated AND label = 2) AS c, count(*) FILTER (NOT truncated AND label <> 2) AS d FROM samples GROUP BY 1, 2),
+ m AS (SELECT uid, model, a, a + b AS r1, c + d AS r2, a + c AS c1, a + b + c + d AS n FROM t), s AS (SELECT m.*, unnest(generate_series(greatest(0, c1 - r2), least(r1, c1))) AS x FROM m WHERE r1 > 0 AND r2 > 0 AND c1 > 0 AND n - c1 > 0), h AS (SELECT *, {_HYPER} AS px FROM s),
+ f AS (SELECT uid, model, least(1.0, sum(px) FILTER (px <= seen * (1 + 1e-7))) AS p FROM (SELECT *, max(px) FILTER (x = a) OVER (PARTITION BY uid, model) AS seen FROM h) z GROUP BY 1, 2)
+ SELECT m.uid, m.model, coalesce(f.p, 1.0) AS p FROM m LEFT JOIN f ON m.uid = f.uid AND m.model = f.model""")),
     "kappa": (lambda s, d: stats.kappa(_judge_human(s, d), "human", "judge"), (["agreement", "kappa"], f"WITH {_JH}, x AS (SELECT human AS a, judge AS b, count(*) AS w FROM jh GROUP BY 1, 2), t AS (SELECT sum(w) AS t, sum(w) FILTER (a = b) AS hit FROM x), pe AS (SELECT sum(wa * wb) AS e FROM (SELECT a AS k, sum(w) AS wa FROM x GROUP BY a) p JOIN (SELECT b AS k, sum(w) AS wb FROM x GROUP BY b) q ON p.k = q.k) SELECT hit / t AS agreement, (hit / t - e / (t * t)) / (1 - e / (t * t)) AS kappa FROM t, pe")),
     "confusion_matrix": (lambda s, d: stats.confusion(_judge_human(s, d), "human", "judge"), ([], f"WITH {_JH} SELECT human, judge, count(*) AS n FROM jh GROUP BY 1, 2")),
     "dispersion": (lambda s, d: stats.dispersion(_per(s, d), "model"), (["chi2", "per_df"], f"WITH {c.PER_PAIR}, t AS (SELECT model, sum(n2) / sum(k_eff) AS p FROM per GROUP BY model) SELECT per.model, sum(pow(n2 - k_eff * p, 2) / (k_eff * p * (1 - p))) AS chi2, count(*) - 1 AS df, sum(pow(n2 - k_eff * p, 2) / (k_eff * p * (1 - p))) / (count(*) - 1) AS per_df FROM per JOIN t ON per.model = t.model WHERE p > 0 AND p < 1 GROUP BY per.model")),
-    "bh_fdr": (q_fdr, (["p", "bonferroni", "q"], f"WITH {_PAIRED}, g AS (SELECT cond, model, count(*) FILTER (before = 2 AND after <> 2) AS b, count(*) FILTER (before <> 2 AND after = 2) AS c FROM pairs GROUP BY cond, model), p AS (SELECT cond, model, round(least(1.0, 1.0 / (1 + CASE WHEN b + c = 0 THEN 0 ELSE (b - c) * (b - c) / (b + c) END)), 9) AS p FROM g), r AS (SELECT a.*, (SELECT count(*) FROM p b WHERE b.cond = a.cond) AS m, (SELECT count(*) FROM p b WHERE b.cond = a.cond AND b.p <= a.p) AS r FROM p a) SELECT cond, model, p, least(1, p * m) AS bonferroni, least(1, (SELECT min(b.p * b.m / b.r) FROM r b WHERE b.cond = a.cond AND b.p >= a.p)) AS q FROM r a")),
+    "bh_fdr": (q_fdr, (["p", "bonferroni", "q"], f"WITH {_PAIRED}, g AS (SELECT cond, model, count(*) FILTER (before = 2 AND after <> 2) AS b, count(*) FILTER (before <> 2 AND after = 2) AS c FROM pairs GROUP BY cond, model), p AS (SELECT cond, model, round({_PSQL}, 9) AS p FROM g), r AS (SELECT a.*, (SELECT count(*) FROM p b WHERE b.cond = a.cond) AS m, (SELECT count(*) FROM p b WHERE b.cond = a.cond AND b.p <= a.p) AS r FROM p a) SELECT cond, model, p, least(1, p * m) AS bonferroni, least(1, (SELECT min(b.p * b.m / b.r) FROM r b WHERE b.cond = a.cond AND b.p >= a.p)) AS q FROM r a")),
     "pearson": (lambda s, d: stats.pearson(c.results(s, d), [("density_change", "centrality_change"), ("original_density", "confidence")]), (["r"], f"WITH {c.RESULTS} SELECT 'density_change' AS x, 'centrality_change' AS y, corr(density_change, centrality_change) AS r, count(*) FILTER (density_change IS NOT NULL AND centrality_change IS NOT NULL) AS n FROM results UNION ALL SELECT 'original_density', 'confidence', corr(original_density, confidence), count(*) FILTER (original_density IS NOT NULL AND confidence IS NOT NULL) FROM results")),
     "spearman": (q_spearman, (["rho"], f"WITH {c.RESULTS}, d AS (SELECT prefix, density_change AS a, centrality_change AS b FROM results WHERE density_change IS NOT NULL AND centrality_change IS NOT NULL), r AS (SELECT prefix, {_AR.format(w='PARTITION BY prefix', v='a', p='PARTITION BY prefix,')} AS ra, {_AR.format(w='PARTITION BY prefix', v='b', p='PARTITION BY prefix,')} AS rb FROM d) SELECT prefix, count(*) AS n, CASE WHEN count(*) >= 10 THEN corr(ra, rb) END AS rho FROM r GROUP BY prefix")),
     "tau_binary_matrix": (q_tau_matrix, (["tau"], f"WITH {c.RESULTS}, x AS (SELECT question, model, max(CAST(label = 2 AS INT)) AS f FROM results WHERE label IS NOT NULL AND question IS NOT NULL AND model IS NOT NULL GROUP BY question, model) SELECT p.model AS a, q.model AS b, count(*) AS n, corr(p.f, q.f) AS tau FROM x p JOIN x q ON p.question = q.question GROUP BY 1, 2")),
     "tau_summary": (lambda s, d: stats.tau_summary(q_tau_matrix(s, d)), (["mean", "median", "min", "max", "std"], f"WITH {c.RESULTS}, x AS (SELECT question, model, max(CAST(label = 2 AS INT)) AS f FROM results WHERE label IS NOT NULL AND question IS NOT NULL AND model IS NOT NULL GROUP BY question, model), t AS (SELECT corr(p.f, q.f) AS tau FROM x p JOIN x q ON p.question = q.question WHERE p.model < q.model GROUP BY p.model, q.model) SELECT avg(tau) AS mean, median(tau) AS median, min(tau) AS min, max(tau) AS max, stddev_pop(tau) AS std FROM t")),
     "tau_blocked": (lambda s, d: stats.tau_blocked(_pair(s, d), "x", "y", "stratum"), (["pairs", "tau", "ceiling", "tied_x", "tied_y"], f"WITH {_TAU} SELECT n, pairs, num / sqrt(dx * dy) AS tau, sqrt(least(dx, dy) / greatest(dx, dy)) AS ceiling, (pairs - dx) / pairs AS tied_x, (pairs - dy) / pairs AS tied_y FROM pp, nn")),
     "spearman_blocked": (lambda s, d: stats.spearman_blocked(_pair(s, d), "x", "y", "stratum"), (["rho"], f"WITH {c.PAIR}, r AS (SELECT stratum, {_AR.format(w='PARTITION BY stratum', v='x', p='PARTITION BY stratum,')} AS rx, {_AR.format(w='PARTITION BY stratum', v='y', p='PARTITION BY stratum,')} AS ry FROM pair), k AS (SELECT rx - avg(rx) OVER (PARTITION BY stratum) AS a, ry - avg(ry) OVER (PARTITION BY stratum) AS b, count(*) OVER (PARTITION BY stratum) AS m FROM r) SELECT count(*) AS n, sum(a * b) / sqrt(sum(a * a) * sum(b * b)) AS rho FROM k WHERE m >= 2")),
-    "stratification_inflation": (q_inflation, None),
+    "stratification_inflation": (q_inflation, (["blocked", "pooled", "inflation"], f"WITH {_TAU}, p1 AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) AS num, CAST(sum(CAST(a.x <> b.x AS INT)) AS DOUBLE) AS dx, CAST(sum(CAST(a.y <> b.y AS INT)) AS DOUBLE) AS dy FROM pair a JOIN pair b ON a.uid < b.uid), t AS (SELECT (SELECT CASE WHEN dx * dy > 0 THEN num / sqrt(dx * dy) END FROM pp) AS blocked, (SELECT CASE WHEN dx * dy > 0 THEN num / sqrt(dx * dy) END FROM p1) AS pooled) SELECT *, pooled - blocked AS inflation FROM t")),
     "residualised": (q_residual, (["r"], f"WITH {c.PAIR}, k AS (SELECT stratum, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, z - avg(z) OVER w AS z FROM pair WINDOW w AS (PARTITION BY stratum)), sl AS (SELECT sum(x * z) / sum(z * z) AS sx, sum(y * z) / sum(z * z) AS sy FROM k) SELECT stratum, count(*) AS n, corr(x - sx * z, y - sy * z) AS r FROM k, sl GROUP BY stratum")),
     "verdict": (q_verdict, None),
     "mann_whitney": (q_mann_whitney, (["u", "effect", "auc"], f"WITH {c.RESULTS}, long AS (SELECT 'density_change' AS feature, density_change AS v, is_hallucinated AS g FROM results WHERE is_hallucinated IS NOT NULL AND density_change IS NOT NULL UNION ALL SELECT 'centrality_change', centrality_change, is_hallucinated FROM results WHERE is_hallucinated IS NOT NULL AND centrality_change IS NOT NULL), r AS (SELECT feature, g, {_AR.format(w='PARTITION BY feature', v='v', p='PARTITION BY feature,')} AS r FROM long), k AS (SELECT feature, CAST(sum(g) AS BIGINT) AS n1, CAST(count(*) - sum(g) AS BIGINT) AS n2, sum(r) FILTER (g = 1) AS r1 FROM r GROUP BY feature) SELECT feature, {_MW} FROM k")),
