@@ -205,7 +205,7 @@ def keyword_chars(text: str) -> tuple[int, int]:
 
 _LINK, _TAG, _PRICED, _NUMBER = "\u0001link", "\u0001tag", "\u0001price", "\u0001num"
 _TOKENS = (
-    r"[a-gi-vx-z][a-z\u00df-\u052f]*+|<a\b[^>]*>|\]\([^)\s]*\)|https?://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+|#[\p{L}\p{N}_][\p{L}\p{N}_-]*|\d+[.,]\d\d(?!\d)|\d+(?:[.,:]\d+)*"
+    r"[a-gi-vx-z][a-z\u00df-\u052f]*+|<a\b[^>]*>|\]\([^)\s]*\)|https?://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+|#[\p{L}\p{N}_][\p{L}\p{N}_-]*|\d+(?:[.,:]\d+)*"
     r"|[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]|[\p{L}\p{M}]+"
 )
 

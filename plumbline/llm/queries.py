@@ -141,9 +141,12 @@ WITH one AS (SELECT item_id, arg_min({{'m': judge_model, 'js': individual_judgme
 SELECT annotator, CAST(label AS INT) AS label, count(*) AS n FROM (
   SELECT annotator, label FROM panel UNION ALL SELECT 'human:' || annotator, label FROM last WHERE label BETWEEN 0 AND 3) t
 GROUP BY annotator, label""",
-    "p8_curves": """
-WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}]+')) AS word FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL) d),
-     c AS (SELECT doc_id, word, count(*) AS n FROM t GROUP BY doc_id, word)
+    "p8_curves": r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-gi-vx-z][a-z\x{00df}-\x{052f}]*|<a\b[^>]*>|\]\([^)\s]*\)|https?://[^\s<>"'')\]]+|www\.[^\s<>"'')\]]+|#[\p{L}\p{N}_][\p{L}\p{N}_-]*|\d+(?:[.,:]\d+)*|[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}]|[\p{L}\p{M}]+')) AS x
+           FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL) d),
+     k AS (SELECT doc_id, CASE WHEN regexp_matches(x, '^\d+[.,]\d\d$') THEN ' price' WHEN x[1] BETWEEN '0' AND '9' THEN ' ' || x WHEN x[1] = '#' THEN ' tag'
+           WHEN x[1] IN ('<', ']') OR starts_with(x, 'www.') OR starts_with(x, 'http://') OR starts_with(x, 'https://') THEN ' link' ELSE x END AS word FROM t),
+     c AS (SELECT doc_id, word, count(*) AS n FROM k GROUP BY doc_id, word)
 SELECT doc_id, CAST(sum(n) AS BIGINT) AS words, count(*) AS "distinct", max(n) AS top FROM c GROUP BY doc_id""",
 }
 
