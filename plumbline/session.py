@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,14 +31,16 @@ def build_session(app: str = "plumbline", cpus: str | int = "*", shuffle: int =
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only a local master may fall back to a temporary folder of this machine; a
-    cluster without the setting is refused, as its executors could not read it.
+    Only a local master may fall back to a temporary folder of this machine, which
+    goes with the process; a cluster without the setting is refused, as its executors could not read it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+        local = tempfile.mkdtemp(prefix="plumbline-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        path = "file://" + local
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
