@@ -6,19 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fill
+from .ranks import running
 from .sampling import uniform
 
+#: Draws of a template for each question it may have.
+ATTEMPTS = 4
+
 
 def generate(templates: DataFrame, entities: DataFrame, per_template: int, reuse_cap: int, seed: str, exclude: DataFrame | None = None) -> DataFrame:
     """``template, entity, question``: each template with entities of its kind.
 
-    Entities per template are drawn by hash before the questions are formed, and
-    an entity is used at most ``reuse_cap`` times; questions in ``exclude`` are
-    left out. templates: kind, template; entities: kind, entity.
+    A template makes ``ATTEMPTS`` draws for each question it may have, by hash: a
+    draw is a place in the order of the kind's entities, so that templates and
+    entities meet on places and never pair by pair. Draws that come again are
+    dropped, and an entity is used at most ``reuse_cap`` times; questions in
+    ``exclude`` are left out. templates: kind, template; entities: kind, entity.
     """
-    j = templates.join(F.broadcast(entities), "kind").withColumn("u", uniform(seed, F.col("template"), F.col("entity")))
-    w = Window.partitionBy("template").orderBy("u", "entity")
-    d = j.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_template)
+    pool = running(entities.distinct().withColumn("_u", uniform(seed, F.col("entity"))).withColumn("_1", F.lit(1)), [F.col("_u").asc(), F.col("entity").asc()], {"_n": "_1"}, "kind")
+    pool = pool.select("kind", "entity", (F.col("_n") - 1).alias("place"))
+    sizes = pool.groupBy("kind").agg(F.count("*").alias("size"))
+    t = templates.distinct().join(F.broadcast(sizes), "kind").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS * per_template - 1))))
+    drawn = t.withColumn("place", F.floor(uniform(seed, F.col("template"), F.col("i")) * F.col("size"))).groupBy("kind", "template", "place").agg(F.min("i").alias("i"))
+    drawn = drawn.withColumn("r", F.row_number().over(Window.partitionBy("kind", "template").orderBy("i"))).where(F.col("r") <= per_template)
+    d = drawn.join(pool, ["kind", "place"]).withColumn("u", uniform(seed, F.col("template"), F.col("entity")))
     q = d.withColumn("question", fill(F.col("template"), F.create_map(F.lit("entity"), F.col("entity"))))
     if exclude is not None:
         q = q.join(exclude.select("question").distinct(), "question", "left_anti")

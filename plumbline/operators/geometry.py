@@ -1,9 +1,13 @@
 """Vector geometry: exact neighbours, intrinsic dimension, density, centrality, curvature, oppositeness.
 
 Exact neighbours run as blocks: the vectors are cut into blocks of bounded size,
-every block of queries meets every block of the corpus in one matrix product, and
-the k best per block are merged by an aggregate. No task holds more than two
-blocks, whatever the size of the table; a stated query set is searched against all rows.
+every block of queries meets every block of the corpus in one matrix product. A
+task keeps the k best of a block of queries over all the blocks it sees, so that
+few candidates leave it; it holds two blocks at a time, whatever the size of the
+table. Their work is quadratic. For large tables there is an index of inverted
+lists: centres are fitted on a bounded sample, every row is in the list of its
+nearest centre, and a query looks into the lists of its nearest centres only;
+``index_recall`` measures it against the exact search.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 #: Vectors per block.
 BLOCK = 4096
 EPS = 1e-10
@@ -45,12 +51,28 @@ def knn(
     Null and empty vectors take no part. ``exclude_self`` drops the row of the same id.
     """
     nq, nc = (max(1, -(-d.count() // block)) for d in (queries, corpus))
-    kind = queries.schema[id_col].dataType.simpleString()
     left, right = _blocks(queries, id_col, vec, nq, ("qb", "qi", "qv")), _blocks(corpus, id_col, vec, nc, ("cb", "ci", "cv"))
     # every block of queries against every block of the corpus: a block is one row
-    jobs = left.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))).join(right, "cb").repartition(max(1, min(nq * nc, 4 * nq * nc)), "qb", "cb")
+    jobs = left.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))).join(right, "cb")
+    return _nearest(jobs.withColumn("job", F.col("qb")), k, nq, nc, queries.schema[id_col].dataType.simpleString(), metric, exclude_self)
+
+
+def _nearest(jobs: DataFrame, k: int, blocks: int, each: int, kind: str, metric: str, exclude_self: bool) -> DataFrame:
+    """The k nearest per query over jobs ``job, qi, qv, cb, ci, cv``; a job is a block of queries, met by ``each`` blocks at most.
+
+    The blocks of a job are spread over as many lanes as the cluster has use for;
+    a lane keeps its k best.
+    """
+    lanes = int(max(1, min(each, -(-4 * jobs.sparkSession.sparkContext.defaultParallelism // max(1, blocks)))))
+    laid = jobs.select("job", F.pmod(F.xxhash64("cb"), F.lit(lanes)).alias("lane"), "qi", "qv", "ci", "cv").repartition(max(1, min(blocks * lanes, 20_000)), "job", "lane").sortWithinPartitions("job", "lane")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, ids, best_d, best_i = None, None, None, None
+
+        def out() -> pd.DataFrame:
+            ok = np.isfinite(best_d)
+            return pd.DataFrame({"id": np.repeat(ids, ok.sum(axis=1)), "nbr": best_i[ok], "dist": best_d[ok]})
+
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 q, c = np.vstack(list(r.qv)), np.vstack(list(r.cv))
@@ -63,22 +85,110 @@ def knn(
                 qi, ci = np.asarray(r.qi), np.asarray(r.ci)
                 if exclude_self:
                     d[qi[:, None] == ci[None]] = np.inf
+                # more than k, as equal vectors differ in the last bits
                 m = min(k + 8, d.shape[1])
                 top = np.argpartition(d, m - 1, axis=1)[:, :m]
-                rows = np.repeat(np.arange(len(qi)), m)
-                out = pd.DataFrame({"id": qi[rows], "nbr": ci[top.ravel()], "dist": d[rows, top.ravel()]})
-                yield out[np.isfinite(out.dist)]
-
-    near = jobs.select("qi", "qv", "ci", "cv").mapInPandas(run, f"id {kind}, nbr {kind}, dist double")
-    best = near.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "nbr"))), 1, k).alias("b"))
+                dist, nbr = np.take_along_axis(d, top, axis=1), ci[top]
+                if (r.job, r.lane) != held:
+                    if held is not None:
+                        yield out()
+                    held, ids, best_d, best_i = (r.job, r.lane), qi, dist, nbr
+                    continue
+                dist, nbr = np.hstack([best_d, dist]), np.hstack([best_i, nbr])
+                keep = np.argpartition(dist, min(k + 8, dist.shape[1]) - 1, axis=1)[:, : k + 8]
+                best_d, best_i = np.take_along_axis(dist, keep, axis=1), np.take_along_axis(nbr, keep, axis=1)
+        if held is not None:
+            yield out()
+
+    near = laid.mapInPandas(run, f"id {kind}, nbr {kind}, dist double")
+    best = near.groupBy("id").agg(F.slice(F.sort_array(F.array_distinct(F.collect_list(F.struct("dist", "nbr")))), 1, k).alias("b"))
     return best.select("id", F.posexplode("b").alias("p", "x")).select("id", (F.col("p") + 1).alias("rank"), F.col("x.nbr").alias("nbr"), F.col("x.dist").alias("dist"))
 
 
+#: Rows on which the centres of an index are fitted, and the most lists it has: centres are sent to all tasks.
+INDEX_SAMPLE, MAX_LISTS = 50_000, 4096
+
+
+def fit_index(corpus: DataFrame, k: int = 10, target: float = 0.95, lists: int | None = None, id_col: str = "id", vec: str = "v", rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, int]:
+    """(centres, probes) of an index, fitted on at most ``INDEX_SAMPLE`` rows in the order of their hash.
+
+    Centres come from k-means on directions. ``probes`` is the least number of
+    lists in which the rows of the sample find ``target`` of their k exact
+    neighbours within the sample, so that it rises where vectors form no clusters.
+    """
+    d = corpus.where(F.col(vec).isNotNull() & (F.size(vec) > 0))
+    n = d.count()
+    lists = min(MAX_LISTS, lists or max(1, int(np.sqrt(n))))
+    rows = d.select(F.xxhash64(id_col).alias("h"), F.col(vec).cast("array<double>").alias("v")).orderBy("h").limit(INDEX_SAMPLE).toPandas()
+    if not len(rows):
+        return np.zeros((1, 1)), 1
+    x = np.vstack(list(rows["v"]))
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
+    for _ in range(rounds):
+        at = np.concatenate([(x[i : i + 4096] @ centres.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.maximum(size, 1e-300), centres)
+    asked = x[:500]
+    near = -(asked @ x.T)
+    near[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+    k = max(1, min(k, len(x) - 1))
+    nbrs = np.argpartition(near, k - 1, axis=1)[:, :k]
+    home = np.concatenate([(x[i : i + 4096] @ centres.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)
+    needed = np.sort(np.take_along_axis(place, home[nbrs], axis=1).ravel()) + 1
+    return centres, int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)])
+
+
+def in_lists(df: DataFrame, centres: np.ndarray, probes: int, id_col: str = "id", vec: str = "v") -> DataFrame:
+    """``id, v, list``: each row once for each of its ``probes`` nearest lists; null and empty vectors are in none."""
+    kind = df.schema[id_col].dataType.simpleString()
+    sent = df.sparkSession.sparkContext.broadcast(centres)
+    probes = min(probes, len(centres))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = sent.value
+        for pdf in batches:
+            if len(pdf):
+                x = np.vstack(list(pdf["v"]))
+                near = np.argpartition(-(x @ c.T), probes - 1, axis=1)[:, :probes]
+                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), probes), "v": [v for v in pdf["v"] for _ in range(probes)], "list": near.ravel().astype("int32")})
+
+    rows = df.where(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    return rows.mapInPandas(run, f"id {kind}, v array<double>, list int")
+
+
+def knn_index(queries: DataFrame, corpus: DataFrame, k: int, centres: np.ndarray, probes: int, id_col: str = "id", vec: str = "v", block: int = BLOCK) -> DataFrame:
+    """``id, rank, nbr, dist`` by the index. Every row of ``corpus`` is indexed; a long list is cut into blocks, none is capped."""
+    kind = queries.schema[id_col].dataType.simpleString()
+    q, c = in_lists(queries, centres, probes, id_col, vec), in_lists(corpus, centres, 1, id_col, vec)
+
+    def cut(df: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+        n = df.groupBy("list").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_n"))
+        d = df.join(F.broadcast(n), "list").select("list", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int").alias(names[0]), "id", "v")
+        g = d.groupBy("list", names[0]).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("_r"))
+        return g.select("list", names[0], F.transform("_r", lambda r: r["id"]).alias(names[1]), F.transform("_r", lambda r: r["v"]).alias(names[2]))
+
+    jobs = cut(q, ("qb", "qi", "qv")).join(cut(c, ("cb", "ci", "cv")), "list").withColumn("job", F.xxhash64("list", "qb"))
+    return _nearest(jobs, k, len(centres), 1, kind, "cosine", True)
+
+
+def index_recall(queries: DataFrame, corpus: DataFrame, k: int, centres: np.ndarray, probes: int) -> DataFrame:
+    """``neighbours, found, recall`` of the index against the exact search."""
+    a = knn(queries, corpus, k).select("id", "nbr")
+    b = knn_index(queries, corpus, k, centres, probes).select("id", "nbr").withColumn("_hit", F.lit(1))
+    g = a.join(b, ["id", "nbr"], "left").agg(F.count("*").alias("neighbours"), F.count("_hit").alias("found"))
+    return g.withColumn("recall", F.try_divide("found", "neighbours"))
+
+
 def knn_expressions(df: DataFrame, k: int, id_col: str = "id", vec: str = "v") -> DataFrame:
-    """The same neighbours stated with expressions alone, for small tables and as a check of ``knn``."""
+    """The same neighbours stated with expressions alone, as a check of ``knn``; the planner chooses the join."""
     u = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v")).withColumn("n", norm(F.col("v")))
     o = u.select(F.col("id").alias("nbr"), F.col("v").alias("w"), F.col("n").alias("m"))
-    d = u.join(F.broadcast(o), F.col("id") != F.col("nbr")).select("id", "nbr", (1 - dot(F.col("v"), F.col("w")) / (F.col("n") * F.col("m"))).alias("dist"))
+    d = u.join(o, F.col("id") != F.col("nbr")).select("id", "nbr", (1 - dot(F.col("v"), F.col("w")) / (F.col("n") * F.col("m"))).alias("dist"))
     return d.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "nbr"))), 1, k).alias("b"))
 
 
@@ -206,7 +316,7 @@ def steering_choice(candidates: DataFrame, item: str, original: str, least: floa
 def features(df: DataFrame, k_dim: int = 20, k_curve: int = 20, k_density: int = 10, n_flip: int = 3, id_col: str = "id", vec: str = "v") -> DataFrame:
     """local_id, density, centrality and curvature per vector from one neighbour search."""
     base = df.select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
-    near = knn(base, base, max(k_dim, k_curve, k_density)).persist()
+    near = Scratch(df.sparkSession, "neighbours").cut(knn(base, base, max(k_dim, k_curve, k_density)))
     self_rows = base.select("id", F.lit(0.0).alias("dist"))
     dens = density(near.where(F.col("rank") <= k_density - 1).select("id", "dist").unionByName(self_rows))
     dims = local_id(near)

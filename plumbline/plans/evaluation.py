@@ -252,6 +252,11 @@ SELECT 'judged_answers' AS dataset, issue, n FROM i UNPIVOT (n FOR issue IN (row
     "contamination_join": (q_contains, ([], "SELECT DISTINCT doc_id, lower(question) AS term FROM documents JOIN eval_items ON contains(lower(text), lower(question)) WHERE length(question) >= 4")),
     "template_fill": (q_templates, ([], f"WITH {c.PROMPTS}, f AS (SELECT id, regexp_replace(replace(template, '{{entity}}', entity), '\\{{(\\w+)\\}}', '[\\1]', 'g') AS q FROM prompts WHERE template IS NOT NULL AND entity IS NOT NULL) SELECT id, min(q) AS filled, min(CAST(regexp_matches(q, '\\[[a-z_0-9]+\\]') AS INT)) AS open FROM f GROUP BY id")),
     "template_capacity": (q_capacity, None),
-    "corpus_generation": (q_generate, None),
+    "corpus_generation": (q_generate, ([], f"""WITH {c.PROMPTS}, t AS (SELECT DISTINCT template FROM prompts WHERE contains(template, '{{entity}}')), e0 AS (SELECT DISTINCT entity FROM prompts WHERE length(trim(entity, ' ')) > 8),
+ e AS (SELECT entity, row_number() OVER (ORDER BY CAST(('0x' || substr(md5('g1~' || entity), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0, entity) - 1 AS place, count(*) OVER () AS size FROM e0),
+ dr AS (SELECT template, CAST(floor(CAST(('0x' || substr(md5('g1~' || template || '~' || i), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0 * (SELECT max(size) FROM e)) AS BIGINT) AS place, min(i) AS i FROM t, generate_series(0, 11) AS g(i) GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY i) AS r FROM dr), q AS (SELECT template, entity, CAST(('0x' || substr(md5('g1~' || template || '~' || entity), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0 AS u, regexp_replace(replace(template, '{{entity}}', entity), '\\{{(\\w+)\\}}', '[\\1]', 'g') AS question FROM r JOIN e ON r.place = e.place WHERE r <= 3),
+ x AS (SELECT * FROM q WHERE question NOT IN (SELECT question FROM prompts WHERE question IS NOT NULL)), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY u, template) AS c FROM x),
+ m AS (SELECT question, min({{'t': template, 'e': entity}}) AS m FROM k WHERE c <= 5 GROUP BY question) SELECT m.t AS template, count(*) AS n FROM m GROUP BY 1""")),
     "batch_id_codec": (q_codec, ([], f"WITH {c.ANSWERS} SELECT format('{{}}-{{}}-{{:02d}}', uid, model, sample_idx) AS code, sample_idx AS sample FROM answers WHERE uid IS NOT NULL AND model IS NOT NULL AND sample_idx IS NOT NULL")),
 }

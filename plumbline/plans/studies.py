@@ -453,6 +453,22 @@ def q_embedding_robustness(s, d):
     return out
 
 
+def _index(s, d):
+    """The stated query set - ids divisible by 20 - all vectors, and the index's centres and probes."""
+    v = c.vectors(s, d)
+    return v.where("id % 20 = 0"), v, *geometry.fit_index(v)
+
+
+def q_knn_index(s, d):
+    q, v, centres, probes = _index(s, d)
+    return geometry.knn_index(q, v, 10, centres, probes)
+
+
+def q_index_recall(s, d):
+    q, v, centres, probes = _index(s, d)
+    return geometry.index_recall(q, v, 10, centres, probes)
+
+
 def q_zscores(s, d):
     v = geometry.z_normalise(_measures(s, d).where("confidence is not null"), "confidence")
     return v.select("id", "z")
@@ -620,6 +636,8 @@ ENTRIES = {
  nn AS (SELECT *, row_number() OVER (PARTITION BY embedding, id ORDER BY dist, nbr) AS r FROM dist), m AS (SELECT embedding, id, round(avg(dist), 9) AS m FROM nn WHERE r <= 5 GROUP BY 1, 2),
  x AS (SELECT m.embedding, m, CASE WHEN (vec_id * 7 + label) % 5 = 0 THEN 1 ELSE 0 END AS h FROM m JOIN embeddings ON m.id = vec_id), rk AS (SELECT embedding, rank() OVER (PARTITION BY embedding ORDER BY m) + (count(*) OVER (PARTITION BY embedding, m) - 1) / 2.0 AS a, rank() OVER (PARTITION BY embedding ORDER BY h) + (count(*) OVER (PARTITION BY embedding, h) - 1) / 2.0 AS b FROM x)
  SELECT embedding, count(*) AS n, corr(a, b) AS rho FROM rk GROUP BY embedding""")),
+    "knn_index": (q_knn_index, None),
+    "knn_index_recall": (q_index_recall, None),
     "z_scores": (q_zscores, (["z"], f"WITH {_MEASURES} SELECT id, (confidence - avg(confidence) OVER ()) / nullif(stddev_pop(confidence) OVER (), 0) AS z FROM m WHERE confidence IS NOT NULL")),
     "model_grid": (q_grid, None),
     "within_category_models": (q_within_models, None),
