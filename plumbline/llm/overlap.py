@@ -240,16 +240,32 @@ class Passage:
         self.size = sum(map(len, words.asking))
 
 
-def scan_shard(ev: list[tuple[str, str | None]], train: list[tuple[str, str | None]], vocabulary: Vocabulary, coverage: float) -> list[tuple]:
+def scan_shard(ev: list[tuple], train: list[tuple], vocabulary: Vocabulary, coverage: float, shard: int = 0) -> list[tuple]:
     """(eval text, train text, coverage, phrases, same answer, slips) of the pairs of a shard that agree in names and figures.
 
-    ``phrases`` is null where the coverage suffices.
+    Rows are (text, answer, shards); a pair that meets in several shards is looked
+    at in the first of them. ``phrases`` is null where the coverage suffices.
     """
     import ahocorasick
 
-    passages = [Passage(t, a, vocabulary.parse(t)) for t, a in ev]
+    by_figures: dict[tuple, list[int]] = defaultdict(list)
+    for n, (text, *_) in enumerate(ev):
+        by_figures[tuple(sorted(vocabulary.parse(text).figures))].append(n)
+    meets = []
+    for text, answer, shards in train:
+        own = vocabulary.parse(text)
+        for n in by_figures.get(tuple(sorted(own.figures)), ()):
+            common = shards & ev[n][2]
+            if common and min(common) != shard:
+                continue
+            slips = names_agree(vocabulary.parse(ev[n][0]), own)
+            if slips is not None:
+                meets.append((n, text, answer, own, slips))
+    if not meets:
+        return []
+    passages = {n: Passage(ev[n][0], ev[n][1], vocabulary.parse(ev[n][0])) for n, *_ in meets}
     grams: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for n, p in enumerate(passages):
+    for n, p in passages.items():
         for i in range(len(p.bare) - GRAM + 1):
             grams[p.bare[i : i + GRAM]].append((n, i))
     auto = ahocorasick.Automaton()
@@ -257,43 +273,33 @@ def scan_shard(ev: list[tuple[str, str | None]], train: list[tuple[str, str | No
         auto.add_word(g, where)
     if grams:
         auto.make_automaton()
-    by_figures: dict[tuple, list[int]] = defaultdict(list)
-    for n, p in enumerate(passages):
-        by_figures[tuple(sorted(p.words.figures))].append(n)
-    rows = []
-    for text, answer in train:
-        own = vocabulary.parse(text)
-        meet = by_figures.get(tuple(sorted(own.figures)))
-        if not meet:
-            continue
+    rows, scanned, spans = [], None, {}
+    for n, text, answer, own, slips in meets:
         mine = [*own.asking, *own.unknown, *own.names]
-        spans: dict[int, list[int]] = defaultdict(list)
-        if grams:
-            for _, where in auto.iter(" " + " ".join(mine) + " "):
-                for n, i in where:
-                    spans[n].append(i)
-        for n in meet:
-            p = passages[n]
-            slips = names_agree(p.words, own)
-            if slips is None:
-                continue
-            covered = bytearray(len(p.bare))
-            for i in spans.get(n, ()):
-                covered[i : i + GRAM] = b"\1" * GRAM
-            got, rest = 0, []
-            for w, s, e in p.spots:
-                k = sum(covered[s:e])
-                if k < e - s and any(near(w, x) for x in mine):
-                    k = e - s
-                got += k
-                if k < 0.6 * (e - s):
-                    rest.append(w)
-            theirs = [*p.words.asking, *p.words.unknown, *p.words.names]
-            other = [w for w in own.asking if not any(near(w, x) for x in theirs)]
-            asked = sum(map(len, own.asking))
-            share = min(got / p.size if p.size else 1.0, 1 - sum(map(len, other)) / asked if asked else 1.0)
-            phrases = None if share >= coverage else " | ".join(sorted(" ".join(sorted(map(vocabulary.usual, x))) for x in (rest, other)))
-            rows.append((p.text, text, share, phrases, _answers_agree(p.answer, answer), slips))
+        if text != scanned:
+            scanned, spans = text, defaultdict(list)
+            if grams:
+                for _, where in auto.iter(" " + " ".join(mine) + " "):
+                    for m, i in where:
+                        spans[m].append(i)
+        p = passages[n]
+        covered = bytearray(len(p.bare))
+        for i in spans.get(n, ()):
+            covered[i : i + GRAM] = b"\1" * GRAM
+        got, rest = 0, []
+        for w, s, e in p.spots:
+            k = sum(covered[s:e])
+            if k < e - s and any(near(w, x) for x in mine):
+                k = e - s
+            got += k
+            if k < 0.6 * (e - s):
+                rest.append(w)
+        theirs = [*p.words.asking, *p.words.unknown, *p.words.names]
+        other = [w for w in own.asking if not any(near(w, x) for x in theirs)]
+        asked = sum(map(len, own.asking))
+        share = min(got / p.size if p.size else 1.0, 1 - sum(map(len, other)) / asked if asked else 1.0)
+        phrases = None if share >= coverage else " | ".join(sorted(" ".join(sorted(map(vocabulary.usual, x))) for x in (rest, other)))
+        rows.append((p.text, text, share, phrases, _answers_agree(p.answer, answer), slips))
     return rows
 
 
@@ -303,16 +309,18 @@ _HIT = "eval_text string, train_text string, coverage double, phrases string, sa
 def scan_bucket(pdf: pd.DataFrame, vocabulary: Vocabulary, coverage: float) -> pd.DataFrame:
     """Every shard of one bucket in turn."""
     shards: dict[tuple, tuple[list, list]] = defaultdict(lambda: ([], []))
+    known: dict[str, frozenset] = {}
     for r in pdf.itertuples(index=False):
         e, t = shards[r.shard, r.cell]
+        row = (r.text, r.answer, known.setdefault(r.text, frozenset(r.shards)))
         if r.as_ev:
-            e.append((r.text, r.answer))
+            e.append(row)
         if r.as_tr:
-            t.append((r.text, r.answer))
+            t.append(row)
     seen: dict[tuple[str, str], tuple] = {}
-    for e, t in shards.values():
+    for (shard, _), (e, t) in shards.items():
         if e and t:
-            for m in scan_shard(e, t, vocabulary, coverage):
+            for m in scan_shard(e, t, vocabulary, coverage, shard):
                 seen.setdefault(m[:2], m)
     return pd.DataFrame([(*m[:5], [{"a": a, "b": b} for a, b in m[5]]) for m in seen.values()], columns=["eval_text", "train_text", "coverage", "phrases", "same_answer", "slips"])
 
@@ -367,12 +375,11 @@ def matched_texts(
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([v.keys(t) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], names=[*b.schema.names, "keys"])
 
     # a shard is known by the hash of its key: a collision only makes two shards one
-    routed = (
-        texts.select("text", "tr", "ev")
-        .mapInArrow(keyed, "text string, tr boolean, ev boolean, keys array<string>")
-        .select(F.xxhash64("text").alias("tid"), "tr", "ev", F.explode(F.array_distinct(F.transform("keys", lambda k: F.xxhash64(k)))).alias("shard"))
+    ids = F.array_distinct(F.transform("keys", lambda k: F.xxhash64(k)))
+    texts = scratch.cut(
+        texts.mapInArrow(keyed, "text string, answer string, tr boolean, ev boolean, keys array<string>").select(F.xxhash64("text").alias("tid"), "text", "answer", "tr", "ev", ids.alias("shards"))
     )
-    routed = scratch.cut(routed)
+    routed = texts.select("tid", "tr", "ev", F.explode("shards").alias("shard"))
     sides = routed.groupBy("shard").agg(F.count_if("tr").alias("nt"), F.count_if("ev").alias("ne")).where("nt > 0 and ne > 0")
     blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK_TEXTS)).cast("int")
     live = routed.join(sides.select("shard", blocks("nt").alias("bt"), blocks("ne").alias("be")), "shard")
@@ -383,8 +390,8 @@ def matched_texts(
     cells = as_ev.unionByName(as_tr).groupBy("shard", "t", "e", "tid").agg(F.max("as_ev").cast("boolean").alias("as_ev"), F.max("as_tr").cast("boolean").alias("as_tr"))
     buckets = max(1, n_texts // BUCKET_TEXTS + 1)
     hits = (
-        cells.join(texts.select(F.xxhash64("text").alias("tid"), "text", "answer"), "tid")
-        .select("shard", F.concat_ws("/", "t", "e").alias("cell"), "text", "answer", "as_ev", "as_tr", F.pmod(F.xxhash64("shard", "t", "e"), F.lit(buckets)).alias("bucket"))
+        cells.join(texts.select("tid", "text", "answer", "shards"), "tid")
+        .select("shard", F.concat_ws("/", "t", "e").alias("cell"), "text", "answer", "shards", "as_ev", "as_tr", F.pmod(F.xxhash64("shard", "t", "e"), F.lit(buckets)).alias("bucket"))
         .groupBy("bucket")
         .applyInPandas(lambda p: scan_bucket(p, Vocabulary(vocabulary.value), coverage), _HIT)
     )
