@@ -33,7 +33,7 @@ MAX_ROUNDS = 40
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``node, root`` of every node of ``edges`` (u, v: strings); root is the component's smallest node.
+    """``node, root`` of every node of ``edges`` (u, v: strings or 16-byte keys); root is the component's smallest node.
 
     Null ends and self-loops are dropped. A node's neighbourhood is never
     gathered: the minimum is a map-side combined aggregate that is joined back,
@@ -83,8 +83,8 @@ def related_groups(
         df.where(F.col(id_col).isNotNull())
         .select(
             F.col(id_col).cast("string").alias("id"),
-            F.md5(F.concat(F.lit("e"), vectorised(entity_key)(col(entity)))).alias("e"),
-            F.md5(F.concat(F.lit("t"), vectorised(template_key)(col(template)))).alias("t"),
+            F.unhex(F.md5(F.concat(F.lit("e"), vectorised(entity_key)(col(entity))))).alias("e"),
+            F.unhex(F.md5(F.concat(F.lit("t"), vectorised(template_key)(col(template))))).alias("t"),
         )
     )
     repeated = keyed.groupBy("id").agg(F.count("*").alias("n"), F.min("e").alias("e"), F.min("t").alias("t")).where("n > 1")
