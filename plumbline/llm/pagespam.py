@@ -232,18 +232,22 @@ def rank_curves(docs: DataFrame, key: str, text: str) -> DataFrame:
     function words of none.
     """
     spark = docs.sparkSession
-    words = spark.createDataFrame([(k, w) for k, ws in FUNCTION_WORDS.items() for w in ws.split()], "lang string, word string")
-    langs = F.broadcast(words.groupBy("word").agg(F.collect_list("lang").alias("langs")))
+    bits = {k: 1 << i for i, k in enumerate(FUNCTION_WORDS)}
+    # the languages of a function word, as bits
+    langs = F.broadcast(spark.createDataFrame([(w, sum(bits[k] for k in ks)) for w, ks in _LANGS_OF.items()], "word string, langs int"))
     tokens = docs.repartition(F.col(key)).select(key, F.explode(page_tokens(F.col(text))).alias("word"))
     counts = tokens.groupBy(key, "word").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(key).orderBy(F.desc("n"), "word")
+    # the order of words of one count doesn't matter to the line
+    w = Window.partitionBy(key).orderBy(F.desc("n"))
     ranked = counts.join(langs, "word", "left").withColumn("r", F.row_number().over(w))
     lf, lr = F.log("n"), F.log("r")
-    masses = [F.sum(F.when(F.array_contains("langs", k), F.col("n")).otherwise(0)).alias(f"m_{k}") for k in FUNCTION_WORDS]
+    masses = [F.sum(F.when(F.col("langs").bitwiseAND(F.lit(bits[k])) > 0, F.col("n")).otherwise(0)).alias(f"m_{k}") for k in FUNCTION_WORDS]
+    first = F.substring("word", 1, 1)
+    cjk_word = first.between("\u3040", "\u30ff") | first.between("\u3400", "\u9fff") | first.between("\uac00", "\ud7af")
     page = ranked.groupBy(key).agg(
         F.sum("n").alias("words"), F.count("*").alias("distinct"), F.max("n").alias("top"),
         F.regr_slope(lf, lr).alias("slope"), F.regr_r2(lf, lr).alias("r2"), F.var_pop(lf).alias("var"),
-        F.sum(F.when(F.col("word").rlike("^[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"), F.col("n")).otherwise(0)).alias("m_cjk"),
+        F.sum(F.when(cjk_word, F.col("n")).otherwise(0)).alias("m_cjk"),
         F.sum(F.when(F.col("word").startswith("\u0001") & ~F.col("word").isin(_LINK, _TAG, _PRICED), F.col("n")).otherwise(0)).alias("m_num"),
         F.collect_list(F.struct("word", "n")).alias("tokens"), *masses,
     )
