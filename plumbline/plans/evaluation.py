@@ -222,7 +222,12 @@ FROM panels LEFT JOIN g ON panels.item_id = g.item_id LEFT JOIN top ON panels.it
  {_vote_sql('loo', 'k')}, all_ AS (SELECT panels.item_id, model, label, e FROM panels CROSS JOIN (SELECT unnest([0, 1, 2]) AS e) x)
 SELECT e AS excluded, model, count(*) AS n, count(*) FILTER (coalesce(lab, label) <> label) AS changed, avg(CAST(coalesce(lab, label) = 2 AS DOUBLE)) AS rate
 FROM all_ LEFT JOIN top ON top.k = item_id || '#' || e GROUP BY e, model""")),
-    "corrections": (q_corrections, None),
+    "corrections": (q_corrections, ([], f"""WITH {_REAL}, {_vote_sql('marked', 'item_id')},
+ real AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS i FROM marked WHERE NOT bad AND lab IS NOT NULL),
+ g AS (SELECT item_id, count(*) AS k, max(lab) FILTER (i = 1) AS l1, max(lab) FILTER (i = 2) AS l2, max(conf) FILTER (i = 1) AS c1, max(conf) FILTER (i = 2) AS c2 FROM real GROUP BY item_id),
+ x AS (SELECT panels.label AS old, coalesce(len(votes), 0) AS n, coalesce(k, 0) AS k, l1, l2, c1, c2, top.lab AS lab FROM panels LEFT JOIN g ON panels.item_id = g.item_id LEFT JOIN top ON panels.item_id = top.item_id)
+ SELECT CASE WHEN n = 0 THEN 'none' WHEN n = k THEN 'clean' WHEN n - k >= 2 THEN 'several_failures' WHEN l1 = l2 THEN 'one_failure_agree' ELSE 'one_failure_disagree' END AS class, old,
+  coalesce(CASE WHEN k < 2 THEN NULL WHEN k = 2 AND l1 = l2 THEN l1 WHEN k = 2 THEN CASE WHEN c2 > c1 THEN l2 ELSE l1 END ELSE lab END, old) AS new, count(*) AS n FROM x GROUP BY 1, 2, 3""")),
     "agreement_types": (q_agreement_types, ([], f"WITH {c.PANELS}, x AS (SELECT model, list_filter(list_transform(votes, lambda v: v.label), lambda l: l IS NOT NULL) AS l FROM panels) SELECT model, CASE WHEN len(l) = 0 THEN NULL WHEN len(list_distinct(l)) = 1 THEN 'unanimous' WHEN len(l) > len(list_distinct(l)) THEN 'majority' ELSE 'split' END AS kind, count(*) AS n FROM x GROUP BY 1, 2")),
     "judge_leniency": (q_judge_leniency, (["third_rate", "consensus_rate", "leniency"], f"WITH {c.PANELS} SELECT model, avg(CAST(votes[3].label = 2 AS DOUBLE)) AS third_rate, avg(CAST(label = 2 AS DOUBLE)) AS consensus_rate, avg(CAST(label = 2 AS DOUBLE)) - avg(CAST(votes[3].label = 2 AS DOUBLE)) AS leniency FROM panels GROUP BY model")),
     "unanimous_only": (q_unanimous, (_R, f"WITH {c.ANSWERS} SELECT model, CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE category END AS category, {_RATES} FROM answers WHERE agreement_rate = 1.0 GROUP BY GROUPING SETS ((model), (model, category))")),
@@ -251,7 +256,12 @@ SELECT 'judged_answers' AS dataset, issue, n FROM i UNPIVOT (n FOR issue IN (row
     "unrecovered_keys": (q_unrecovered, ([], f"WITH {c.CONDITIONS}, g AS (SELECT id, bool_or(confidence > 3) AS ok, arg_max(label, cond) AS last_error, count(*) AS attempts FROM conditions GROUP BY id) SELECT last_error, attempts, count(*) AS n FROM g WHERE NOT ok GROUP BY 1, 2")),
     "contamination_join": (q_contains, ([], "SELECT DISTINCT doc_id, lower(question) AS term FROM documents JOIN eval_items ON contains(lower(text), lower(question)) WHERE length(question) >= 4")),
     "template_fill": (q_templates, ([], f"WITH {c.PROMPTS}, f AS (SELECT id, regexp_replace(replace(template, '{{entity}}', entity), '\\{{(\\w+)\\}}', '[\\1]', 'g') AS q FROM prompts WHERE template IS NOT NULL AND entity IS NOT NULL) SELECT id, min(q) AS filled, min(CAST(regexp_matches(q, '\\[[a-z_0-9]+\\]') AS INT)) AS open FROM f GROUP BY id")),
-    "template_capacity": (q_capacity, None),
+    "template_capacity": (q_capacity, ([], f"""WITH {c.PROMPTS}, t AS (SELECT DISTINCT template FROM prompts WHERE trim(template, ' ') <> '' AND lower(trim(template, ' ')) NOT IN {_STAND_INS}),
+ used AS (SELECT unnest(map_keys(metadata.substitutions)) AS pool, unnest(map_values(metadata.substitutions)) AS value FROM borderline_edge_factual),
+ vals AS (SELECT 'entity' AS pool, trim(entity, ' ') AS value FROM borderline_edge_factual UNION SELECT lower(pool), trim(value, ' ') FROM used WHERE lower(pool) <> 'entity'),
+ sizes AS (SELECT pool, count(DISTINCT value) AS size FROM vals WHERE value <> '' AND lower(value) NOT IN {_STAND_INS} GROUP BY pool),
+ v AS (SELECT template, lower(unnest(regexp_extract_all(template, '[{{\\[]\\s*(\\w+)\\s*[}}\\]]', 1))) AS pool FROM t), n AS (SELECT v.template, greatest(coalesce(size, 0) - (row_number() OVER (PARTITION BY v.template, v.pool) - 1), 1) AS k FROM v LEFT JOIN sizes ON v.pool = sizes.pool),
+ g AS (SELECT template, CAST(product(k) AS BIGINT) AS capacity FROM n GROUP BY template) SELECT t.template, coalesce(g.capacity, 1) AS capacity FROM t LEFT JOIN g ON t.template = g.template""")),
     "corpus_generation": (q_generate, ([], f"""WITH {c.PROMPTS}, t AS (SELECT DISTINCT template FROM prompts WHERE contains(template, '{{entity}}')), e0 AS (SELECT DISTINCT entity FROM prompts WHERE length(trim(entity, ' ')) > 8),
  e AS (SELECT entity, row_number() OVER (ORDER BY CAST(('0x' || substr(md5('g1~' || entity), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0, entity) - 1 AS place, count(*) OVER () AS size FROM e0),
  dr AS (SELECT template, CAST(floor(CAST(('0x' || substr(md5('g1~' || template || '~' || i), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0 * (SELECT max(size) FROM e)) AS BIGINT) AS place, min(i) AS i FROM t, generate_series(0, 11) AS g(i) GROUP BY 1, 2),

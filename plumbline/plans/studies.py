@@ -607,8 +607,8 @@ ENTRIES = {
     "residual_null_band": (q_null_band, None),
     "rekey_migration": (q_rekey, ([], f"WITH {c.PROMPTS}, p AS (SELECT id, question FROM prompts WHERE question IS NOT NULL), n AS (SELECT DISTINCT trim(question, ' ') AS t FROM p WHERE CAST(right(id, 3) AS INT) % 4 <> 0) SELECT 'matched' AS part, count(DISTINCT id) AS n FROM p WHERE trim(question, ' ') IN (SELECT t FROM n) UNION ALL SELECT 'unmatched', count(DISTINCT id) FROM p WHERE trim(question, ' ') NOT IN (SELECT t FROM n)")),
     "pool_top_up": (q_top_up, ([], f"WITH {c.PROMPTS} SELECT 'kept' AS origin, count(DISTINCT id) AS n FROM prompts WHERE split = 'test' UNION ALL SELECT 'pool', count(DISTINCT id) FROM prompts WHERE id NOT IN (SELECT id FROM prompts WHERE split IN ('test', 'validation'))")),
-    "entity_extraction": (q_extraction, None),
-    "rule_ground_truth": (q_ground_truth, None),
+    "entity_extraction": (q_extraction, ([], f"WITH {c.PROMPTS} SELECT id, min(trim(coalesce(" + ", ".join(f"CASE WHEN regexp_matches(question, '{x}') THEN regexp_extract(question, '{x}', 1) END" for x in _PATTERNS) + "), ' ')) AS entity FROM prompts GROUP BY id")),
+    "rule_ground_truth": (q_ground_truth, ([], f"WITH {c.PROMPTS}, q AS (SELECT category, lower(coalesce(question, '')) AS q FROM prompts) SELECT category, CASE WHEN contains(q, 'president') THEN 'office' WHEN contains(q, 'capital') THEN 'capital' WHEN contains(q, 'chemical formula') THEN 'formula' WHEN contains(q, 'who wrote') THEN 'author' ELSE 'verifiable' END AS rule, count(*) AS n FROM q GROUP BY 1, 2")),
     "within_category_mw": (q_within_mw, (["u", "effect", "auc"], f"WITH {c.RESULTS}, x AS (SELECT category, 'density_change' AS feature, density_change AS value, is_hallucinated AS g FROM results WHERE is_hallucinated IS NOT NULL UNION ALL SELECT category, 'centrality_change', centrality_change, is_hallucinated FROM results WHERE is_hallucinated IS NOT NULL) " + _MW.format(by="category, feature", k=5))),
     "bridge_comparisons": (q_bridge, (["u", "effect", "auc"], f"""WITH {_PAIRED}, o AS (SELECT id, min(before) AS before, count(*) FILTER (after <> 2) AS nf, bool_and(after = 0) AS a0, bool_or(after = 2) AS a2 FROM pairs GROUP BY id),
  t AS (SELECT id, CASE WHEN before = 2 AND nf > 0 THEN 'fixed' WHEN before = 2 THEN 'still_broken' WHEN a2 THEN 'regressed' WHEN before = 0 AND a0 THEN 'already_correct' ELSE 'other' END AS outcome FROM o),
@@ -645,6 +645,9 @@ ENTRIES = {
     "csv_round_trip": (q_csv, ([], f"WITH {c.PROMPTS} SELECT split AS part, count(*) AS n, CAST(sum(length(regexp_replace(question, '\\s', '', 'g'))) AS BIGINT) AS chars FROM prompts WHERE question IS NOT NULL AND split IS NOT NULL GROUP BY 1")),
     "last_wins": (q_last_wins, ([], f"WITH {BASE}, r AS (SELECT uid, arg_max(model, pos) AS model, arg_max(label, pos) AS label FROM base GROUP BY uid) SELECT model, label, count(*) AS n FROM r GROUP BY 1, 2")),
     "renumbered": (q_renumber, ([], f"WITH {BASE}, r AS (SELECT model, sample_idx, row_number() OVER (PARTITION BY uid, model ORDER BY pos) - 1 AS new_idx FROM base WHERE NOT generation_failed) SELECT model, new_idx, count(*) AS n, CAST(sum(sample_idx) AS BIGINT) AS old FROM r GROUP BY 1, 2")),
-    "perturbed_lengths": (q_perturb, None),
+    "perturbed_lengths": (q_perturb, ([], """WITH a AS (SELECT DISTINCT attack_id, original_question AS q FROM adversarial_attacks WHERE original_question IS NOT NULL), m AS (SELECT q, ['synonyms', 'confusing', 'false_premise', 'none'][CAST(attack_id % 4 AS INT) + 1] AS method FROM a)
+ SELECT method, count(*) AS n, CAST(sum(length(q) + CASE method WHEN 'confusing' THEN 1 + length('Bear in mind that sources differ.') WHEN 'false_premise' THEN length('Assume the opposite. ') WHEN 'none' THEN 0 ELSE CASE
+  WHEN contains(lower(q), 'how many') THEN length('what number of') - length('how many') WHEN contains(lower(q), 'who') THEN length('which person') - length('who') WHEN contains(lower(q), 'first') THEN length('earliest') - length('first')
+  WHEN contains(lower(q), 'when') THEN length('at what time') - length('when') ELSE 0 END END) AS BIGINT) AS chars FROM m GROUP BY method""")),
     "enrichment": (q_enrichment, (["flagged_rate", "other_rate", "enrichment"], f"WITH {c.RESULTS}, x AS (SELECT avg(is_hallucinated) FILTER (original_density > 0.5) AS a, avg(is_hallucinated) FILTER (NOT original_density > 0.5) AS b FROM results WHERE is_hallucinated IS NOT NULL AND original_density IS NOT NULL) SELECT a AS flagged_rate, b AS other_rate, a / nullif(b, 0) AS enrichment FROM x")),
 }
