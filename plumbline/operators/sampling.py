@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def uniform(*parts: Column | str | int) -> Column:
     """u in [0, 1) from the md5 of the parts joined by ~."""
@@ -16,16 +18,20 @@ def _order(key: str, seed: str | int) -> list[Column]:
     return [uniform(seed, F.col(key)), F.col(key)]
 
 
+def _numbered(df: DataFrame, strata: list[str], key: str, seed: str | int | None = None) -> DataFrame:
+    """``df`` with ``_d``, the place of a row in its stratum, counted by ranges so that no task holds a whole stratum."""
+    order = [F.col(key).asc()] if seed is None else [o.asc() for o in _order(key, seed)]
+    return running(df.withColumn("_1", F.lit(1)), order, {"_d": "_1"}, *strata).drop("_1")
+
+
 def per_stratum(df: DataFrame, stratum: str, key: str, n: Column | int, seed: str | int | None = None) -> DataFrame:
     """The first ``n`` rows of each stratum by key (no seed) or by hash."""
-    w = Window.partitionBy(stratum).orderBy(*([F.col(key)] if seed is None else _order(key, seed)))
-    return df.withColumn("_d", F.row_number().over(w)).where(F.col("_d") <= n).drop("_d")
+    return _numbered(df, [stratum], key, seed).where(F.col("_d") <= n).drop("_d")
 
 
 def round_robin(df: DataFrame, stratum: str, key: str, n: int, seed: str | int | None = None) -> DataFrame:
     """Depth-major over sorted strata until ``n`` rows: a depth of at most n rows per stratum, then one small sort."""
-    w = Window.partitionBy(stratum).orderBy(*([F.col(key)] if seed is None else _order(key, seed)))
-    return df.withColumn("depth", F.row_number().over(w)).where(F.col("depth") <= n).orderBy("depth", stratum).limit(n)
+    return _numbered(df, [stratum], key, seed).withColumnRenamed("_d", "depth").where(F.col("depth") <= n).orderBy("depth", stratum).limit(n)
 
 
 def proportional(df: DataFrame, stratum: str, key: str, n: int, seed: str | int) -> DataFrame:
@@ -38,8 +44,8 @@ def proportional(df: DataFrame, stratum: str, key: str, n: int, seed: str | int)
 
 def stratified_weights(df: DataFrame, strata: list[str], key: str, n: int, seed: str | int) -> DataFrame:
     """``n`` rows of each cell by hash, weighted by cell population over cell sample."""
-    w = Window.partitionBy(*strata)
-    d = df.withColumn("cell_population", F.count("*").over(w)).withColumn("_d", F.row_number().over(w.orderBy(*_order(key, seed)))).where(F.col("_d") <= n)
+    sizes = df.groupBy(*strata).agg(F.count("*").alias("cell_population"))
+    d = _numbered(df, strata, key, seed).where(F.col("_d") <= n).join(F.broadcast(sizes), strata)
     return d.withColumn("cell_sampled", F.least(F.col("cell_population"), F.lit(n))).withColumn("weight", F.col("cell_population") / F.col("cell_sampled")).drop("_d")
 
 
@@ -51,9 +57,10 @@ def groups_sample(df: DataFrame, stratum: str, group: str, n: int, seed: str | i
 
 def split3(df: DataFrame, stratum: str, key: str, seed: str | int, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """``df`` with ``part``: per stratum the first rows by hash train, then validation, then test."""
-    w = Window.partitionBy(stratum)
-    r = (F.row_number().over(w.orderBy(*_order(key, seed))) - 1) / F.count("*").over(w)
-    return df.withColumn("part", F.when(r < train, "train").when(r < train + validation, "validation").otherwise("test"))
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))
+    r = (F.col("_d") - 1) / F.col("_n")
+    d = _numbered(df, [stratum], key, seed).join(F.broadcast(sizes), stratum)
+    return d.withColumn("part", F.when(r < train, "train").when(r < train + validation, "validation").otherwise("test")).select(*df.columns, "part")
 
 
 def apportion(weights: dict[str, float], capacity: dict[str, int], n: int) -> dict[str, int]:

@@ -23,11 +23,23 @@ def running_rates(stream: DataFrame, *keys: str, time: str = "ts", late: str = "
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and return the in-memory result; for tests and small results."""
+    """Run a stream over what is there and return its result as a written table: the last version in complete mode, else all batches.
+
+    Each batch is written by the executors; a batch that is run again overwrites its own files.
+    """
     spark = df.sparkSession
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", Scratch(spark, f"stream-{name}").root).trigger(availableNow=True).start()
+    scratch, done = Scratch(spark, f"stream-{name}"), []
+
+    def step(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{scratch.root}/out/v={n}")
+        done.append(n)
+
+    q = df.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", f"{scratch.root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if not done:
+        return spark.createDataFrame([], df.schema)
+    at = [max(done)] if mode == "complete" else sorted(set(done))
+    return spark.read.schema(df.schema).parquet(*[f"{scratch.root}/out/v={n}" for n in at])
 
 
 def merge_into(stream: DataFrame, target: str, keys: list[str], order: str, checkpoint: str):
