@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fill
 from .ranks import running
-from .sampling import uniform
+from .sampling import round_robin, uniform
 
 #: Draws of a template for each question it may have.
 ATTEMPTS = 4
@@ -36,6 +36,19 @@ def generate(templates: DataFrame, entities: DataFrame, per_template: int, reuse
     return q.groupBy("question").agg(F.min(F.struct("template", "entity")).alias("x")).select("x.template", "x.entity", "question")
 
 
+def round_robin_prompts(entities: DataFrame, templates: DataFrame, n: int) -> DataFrame:
+    """``kind, entity, template, question``: ``n`` prompts, entity kinds taken in turn, each with the next template of its kind.
+
+    entities: kind, entity; templates: kind, template. Kinds are few, and of each
+    at most ``n`` entities are looked at.
+    """
+    e = round_robin(entities.distinct(), "kind", "entity", n)
+    t = templates.distinct().withColumn("_i", F.row_number().over(Window.partitionBy("kind").orderBy("template")) - 1)
+    size = t.groupBy("kind").agg(F.count("*").alias("_n"))
+    j = e.join(F.broadcast(size), "kind").withColumn("_i", F.pmod(F.col("depth") - 1, F.col("_n"))).join(t, ["kind", "_i"])
+    return j.select("kind", "entity", "template", fill(F.col("template"), F.create_map(F.lit("entity"), F.col("entity"))).alias("question"))
+
+
 #: A variable of a template, written {name}, { NAME } or [name].
 VARIABLE = r"[{\[]\s*(\w+)\s*[}\]]"
 

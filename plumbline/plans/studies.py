@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import audit, geometry, judging, ml, pairing, ranks, rates, sampling, stats
+from ..operators import audit, corpus, geometry, judging, ml, pairing, ranks, rates, sampling, stats
 from ..session import Scratch
 from ..sources import files
 from ..sources.tables import table
@@ -320,6 +320,21 @@ def q_extraction(s, d):
     return c.prompts(s, d).groupBy("id").agg(F.min(F.trim(judging.first_match(F.col("question"), *_PATTERNS))).alias("entity"))
 
 
+def q_round_robin_prompts(s, d):
+    p = c.prompts(s, d)
+    kind = F.lower(F.element_at(F.split(F.trim("entity"), r" +"), -1))
+    e = p.where("trim(entity) <> ''").select(kind.alias("kind"), F.trim("entity").alias("entity"))
+    t = e.select("kind").distinct().crossJoin(s.createDataFrame([("Who built {entity}?",), ("When was {entity} built?",), ("Where is {entity}?",)], "template string"))
+    return corpus.round_robin_prompts(e, t, 150)
+
+
+def q_bridge_history(s, d):
+    """Fixed and regressed prompts per category under one condition beside those under the one before."""
+    p = _pairs(s, d)
+    t = lambda k, n: p.where(F.col("cond") == k).groupBy("category").agg(rates.share((F.col("before") == 2) & (F.col("after") != 2)).alias(f"fixed_{n}"), rates.share((F.col("before") != 2) & (F.col("after") == 2)).alias(f"regressed_{n}"))
+    return t(1, "old").join(t(2, "new"), "category", "full_outer").withColumn("fixed_change", F.col("fixed_new") - F.col("fixed_old"))
+
+
 def q_ground_truth(s, d):
     return c.prompts(s, d).groupBy("category", text.ground_truth_rule(F.lit("factual"), F.col("question"), F.lit(None).cast("map<string,string>")).alias("rule")).agg(F.count("*").alias("n"))
 
@@ -608,6 +623,11 @@ ENTRIES = {
     "rekey_migration": (q_rekey, ([], f"WITH {c.PROMPTS}, p AS (SELECT id, question FROM prompts WHERE question IS NOT NULL), n AS (SELECT DISTINCT trim(question, ' ') AS t FROM p WHERE CAST(right(id, 3) AS INT) % 4 <> 0) SELECT 'matched' AS part, count(DISTINCT id) AS n FROM p WHERE trim(question, ' ') IN (SELECT t FROM n) UNION ALL SELECT 'unmatched', count(DISTINCT id) FROM p WHERE trim(question, ' ') NOT IN (SELECT t FROM n)")),
     "pool_top_up": (q_top_up, ([], f"WITH {c.PROMPTS} SELECT 'kept' AS origin, count(DISTINCT id) AS n FROM prompts WHERE split = 'test' UNION ALL SELECT 'pool', count(DISTINCT id) FROM prompts WHERE id NOT IN (SELECT id FROM prompts WHERE split IN ('test', 'validation'))")),
     "entity_extraction": (q_extraction, ([], f"WITH {c.PROMPTS} SELECT id, min(trim(coalesce(" + ", ".join(f"CASE WHEN regexp_matches(question, '{x}') THEN regexp_extract(question, '{x}', 1) END" for x in _PATTERNS) + "), ' ')) AS entity FROM prompts GROUP BY id")),
+    "round_robin_prompts": (q_round_robin_prompts, ([], f"""WITH {c.PROMPTS}, e AS (SELECT DISTINCT lower(list_last(regexp_split_to_array(trim(entity, ' '), ' +'))) AS kind, trim(entity, ' ') AS entity FROM prompts WHERE trim(entity, ' ') <> ''),
+ r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY entity) AS depth FROM e), o AS (SELECT *, row_number() OVER (ORDER BY depth, kind) AS n FROM r), t AS (SELECT unnest(['When was {{entity}} built?', 'Where is {{entity}}?', 'Who built {{entity}}?']) AS template, unnest([0, 1, 2]) AS i)
+ SELECT kind, entity, template, replace(template, '{{entity}}', entity) AS question FROM o JOIN t ON (depth - 1) % 3 = t.i WHERE n <= 150""")),
+    "bridge_history": (q_bridge_history, (["fixed_old", "regressed_old", "fixed_new", "regressed_new", "fixed_change"], f"""WITH {_PAIRED}, a AS (SELECT cond, category, avg(CAST(before = 2 AND after <> 2 AS DOUBLE)) AS f, avg(CAST(before <> 2 AND after = 2 AS DOUBLE)) AS r FROM pairs GROUP BY 1, 2)
+ SELECT coalesce(o.category, n.category) AS category, o.f AS fixed_old, o.r AS regressed_old, n.f AS fixed_new, n.r AS regressed_new, n.f - o.f AS fixed_change FROM (SELECT * FROM a WHERE cond = 1) o FULL JOIN (SELECT * FROM a WHERE cond = 2) n ON o.category = n.category""")),
     "rule_ground_truth": (q_ground_truth, ([], f"WITH {c.PROMPTS}, q AS (SELECT category, lower(coalesce(question, '')) AS q FROM prompts) SELECT category, CASE WHEN contains(q, 'president') THEN 'office' WHEN contains(q, 'capital') THEN 'capital' WHEN contains(q, 'chemical formula') THEN 'formula' WHEN contains(q, 'who wrote') THEN 'author' ELSE 'verifiable' END AS rule, count(*) AS n FROM q GROUP BY 1, 2")),
     "within_category_mw": (q_within_mw, (["u", "effect", "auc"], f"WITH {c.RESULTS}, x AS (SELECT category, 'density_change' AS feature, density_change AS value, is_hallucinated AS g FROM results WHERE is_hallucinated IS NOT NULL UNION ALL SELECT category, 'centrality_change', centrality_change, is_hallucinated FROM results WHERE is_hallucinated IS NOT NULL) " + _MW.format(by="category, feature", k=5))),
     "bridge_comparisons": (q_bridge, (["u", "effect", "auc"], f"""WITH {_PAIRED}, o AS (SELECT id, min(before) AS before, count(*) FILTER (after <> 2) AS nf, bool_and(after = 0) AS a0, bool_or(after = 2) AS a2 FROM pairs GROUP BY id),
