@@ -17,7 +17,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Default folder of the public vocabulary files; every function takes a path instead.
 TOKENIZER_DIR = os.environ.get("PLUMBLINE_TOKENIZERS", "/opt/tokenizers")
@@ -150,8 +151,8 @@ def encode_corpus(
     """``key, ids`` for every record of ``df``.
 
     Null and empty texts give an empty list; a null key is a record of its own
-    key value; rows delivered repeatedly give one row; other columns are not
-    read. The vocabulary file is read on the driver and sent to the workers (2
+    key value; rows delivered repeatedly give one row, of differing texts of a
+    key the greatest counts; other columns are not read. The vocabulary file is read on the driver and sent to the workers (2
     MB, a fixed size), so that the path need not exist on the executors.
     """
     spark = df.sparkSession
@@ -159,7 +160,7 @@ def encode_corpus(
         vocabulary = spark.sparkContext.broadcast(f.read())
 
     kind = df.schema[key].dataType
-    once = df.select(key, text).dropDuplicates([key])
+    once = df.groupBy(key).agg(F.max(text).alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(vocabulary.value).encode
@@ -177,8 +178,6 @@ def encode_corpus(
 
 def token_totals(encoded: DataFrame, docs: DataFrame, key: str = "doc_id", group: str = "source") -> DataFrame:
     """Documents, tokens and characters per group; null groups form one group."""
-    from pyspark.sql import functions as F
-
     sizes = encoded.select(key, F.size("ids").alias("n"))
     once = docs.select(key, group, F.length("text").alias("c")).dropDuplicates([key])
     return (

@@ -105,7 +105,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_curves(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text").dropDuplicates(["doc_id"])
+    docs = table(spark, d, "documents").where("text is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
     return pagespam.rank_curves(docs, "doc_id", "text").select("doc_id", "words", "distinct", "top")
 
 
@@ -143,7 +143,7 @@ SELECT annotator, CAST(label AS INT) AS label, count(*) AS n FROM (
 GROUP BY annotator, label""",
     "p8_curves": r"""
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-gi-vx-z][a-z\x{00df}-\x{052f}]*|<a\b[^>]*>|\]\([^)\s]*\)|https?://[^\s<>"'')\]]+|www\.[^\s<>"'')\]]+|#[\p{L}\p{N}_][\p{L}\p{N}_-]*|\d+(?:[.,:]\d+)*|[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}]|[\p{L}\p{M}]+')) AS x
-           FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL) d),
+           FROM (SELECT doc_id, max(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY doc_id) d),
      k AS (SELECT doc_id, CASE WHEN regexp_matches(x, '^\d+[.,]\d\d$') THEN ' price' WHEN x[1] BETWEEN '0' AND '9' THEN ' ' || x WHEN x[1] = '#' THEN ' tag'
            WHEN x[1] IN ('<', ']') OR starts_with(x, 'www.') OR starts_with(x, 'http://') OR starts_with(x, 'https://') THEN ' link' ELSE x END AS word FROM t),
      c AS (SELECT doc_id, word, count(*) AS n FROM k GROUP BY doc_id, word)
