@@ -55,8 +55,7 @@ def q_fisher(s, d):
 
 def q_verdict(s, d):
     """The verdict on the measured agreement: reliability by halves, floor by the share of prompts at zero, interval by the nested bootstrap."""
-    per = _per(s, d)
-    p = c.pair(per)
+    p = Scratch(s, "verdict").cut(_pair(s, d).select("stratum", "x", "ka", "y", "kb", "p_even", "p_odd"))
     t = stats.tau_blocked(p, "x", "y", "stratum")
     r = stats.tau_blocked(p, "p_even", "p_odd", "stratum").select(stats.spearman_brown(F.col("tau")).alias("reliability"))
     floor = p.agg(F.coalesce(F.greatest(rates.share(F.col("x") == 0), rates.share(F.col("y") == 0)) > 0.5, F.lit(False)).alias("floor"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -117,6 +118,44 @@ def test_resampling_where_the_cells_lie(spark):
     assert t == pytest.approx(np.mean(c), abs=0.01)
 
 
+def test_tau_of_many_rows_forms_no_pairs():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 3, 40, 150):
+        k = rng.integers(1, 9, (2, n))
+        x, y = rng.binomial(k, 0.4) / k
+        at = [a for a in np.array_split(rng.permutation(n), 3)]
+        s = [(np.sign(x[i] - x[j]), np.sign(y[i] - y[j])) for a in at for m, i in enumerate(a) for j in a[:m]]
+        num, dx, dy = sum(a * b for a, b in s), sum(abs(a) for a, _ in s), sum(abs(b) for _, b in s)
+        assert resample.tau_b(x, y, at) == pytest.approx(num / math.sqrt(dx * dy) if dx * dy else math.nan, abs=1e-12, nan_ok=True)
+    n, block = 60_000, 100
+    y = np.arange(n).reshape(-1, block)[:, ::-1].ravel() / n
+    began = time.process_time()
+    assert resample.tau_b(np.arange(n) / n, y, [np.arange(n)]) == pytest.approx(1 - 2 * (block - 1) / (n - 1), abs=1e-12)
+    assert time.process_time() - began < 15
+
+
+def test_nested_bootstrap_of_tau_is_sent_distinct_prompts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = sorted((int(s), x / 4, x / 4 if same else (4 - x) / 8, 4, 8) for s, x, same in zip(*(v.tolist() for v in (rng.integers(0, 2, 400), rng.integers(0, 5, 400), rng.random(400) < 0.7))))
+    df = spark.createDataFrame(rows, "s int, x double, y double, kx long, ky long").repartition(3)
+    monkeypatch.setattr(resample, "MAX_SENT", 30)
+    got = resample.nested_bootstrap_tau(df, "s", "x", "kx", "y", "ky", replicates=60).first()
+    s, x, y, kx, ky = (np.array(c) for c in zip(*rows))
+    want = []
+    for task, size in ((0, 50), (1, 10)):
+        r = np.random.default_rng([1, task])
+        for _ in range(size):
+            at = np.concatenate([r.choice(np.flatnonzero(s == g), (s == g).sum()) for g in (0, 1)])
+            a, b = r.binomial(kx[at], x[at]) / kx[at], r.binomial(ky[at], y[at]) / ky[at]
+            one = (s[at][:, None] == s[at]) * np.sign(a[:, None] - a), np.sign(b[:, None] - b) * (s[at][:, None] == s[at])
+            want.append((one[0] * one[1]).sum() / np.sqrt(np.abs(one[0]).sum() * np.abs(one[1]).sum()))
+    assert tuple(got) == pytest.approx((np.mean(want), *np.percentile(want, [2.5, 97.5])), abs=1e-9)
+    assert tuple(resample.nested_bootstrap_tau(df.limit(0), "s", "x", "kx", "y", "ky", replicates=60).first()) == (None, None, None)
+    monkeypatch.setattr(resample, "MAX_SENT", 5)
+    with pytest.raises(ValueError):
+        resample.nested_bootstrap_tau(df, "s", "x", "kx", "y", "ky", replicates=60)
+
+
 def test_null_band_is_around_the_plain_agreement(spark):
     rng = np.random.default_rng(8)
     base = rng.random(120)
